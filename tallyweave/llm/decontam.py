@@ -14,6 +14,7 @@ Items are a query set of stated size; they go to executors in blocks.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -150,6 +151,17 @@ class Scanner:
         return [(self.items[i][0], s, len(self.items[i][1]), x) for i, (x, s) in sorted(best.items())]
 
 
+_BUILT: dict[str, list[Scanner]] = {}
+
+
+def _scanners(tag: str, items: list, shingle: int, threshold: float, radius: int, block: int) -> list[Scanner]:
+    """Built once in a worker process for all its tasks of one call; only the last call's are kept."""
+    if tag not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tag] = [Scanner(items[k : k + block], shingle, threshold, radius) for k in range(0, len(items), block)]
+    return _BUILT[tag]
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -175,10 +187,11 @@ def decontaminate(
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
     items = [(r["i"], w) for r in rows if (w := words_of(r["t"]))]
+    tag = uuid.uuid4().hex
     names = ["doc_id", "item_id", "start_word", "n_words", "similarity"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(items[k : k + block], shingle, threshold, radius) for k in range(0, len(items), block)]
+        scanners = _scanners(tag, items, shingle, threshold, radius, block)
         for b in batches:
             hits, row = [], []
             for n, t in enumerate(b.column("_text")):
