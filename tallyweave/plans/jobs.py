@@ -123,7 +123,7 @@ class JobRunner:
             try:
                 self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
             except Exception as e:
-                script.failure = str(e).splitlines()[0]
+                script.failure = str(e).strip().splitlines()[0]
                 break
         return script
 
