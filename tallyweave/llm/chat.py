@@ -83,11 +83,13 @@ def fold_events(events: DataFrame) -> DataFrame:
     marked = events.withColumn("_at", at)
     later = F.when(F.col("event").isin(*RESETS), F.struct("_at.seq", "_at.rank"))
     w = Window.partitionBy(*key)
-    live = marked.withColumn("_reset", F.max(later).over(w)).where("_reset is null or struct(_at.seq, _at.rank) >= _reset")
+    # the role comes from any event of the message, also one before the last reset
+    role = F.max_by("role", F.struct(F.col("role").isNotNull(), "_at")).over(w)
+    live = marked.withColumns({"_reset": F.max(later).over(w), "role": role}).where("_reset is null or struct(_at.seq, _at.rank) >= _reset")
     text = F.array_join(F.transform(F.array_sort(F.collect_list("_at")), lambda x: x["text"]), "")
     return (
         live.groupBy(*key)
-        .agg(text.alias("text"), F.max_by("role", F.struct(F.col("role").isNotNull(), "_at")).alias("role"), F.max(F.col("event") == "delete").alias("_gone"))
+        .agg(text.alias("text"), F.max("role").alias("role"), F.max(F.col("event") == "delete").alias("_gone"))
         .where("not _gone")
         .select(*key, "role", "text")
     )

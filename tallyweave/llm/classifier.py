@@ -60,8 +60,14 @@ def responses(flat: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out.reshape(-1, CHUNK // STRIDE, FILTERS)
 
 
-def chunk_maxima(flat: np.ndarray, tables: np.ndarray, bias: np.ndarray, block: int = 512) -> np.ndarray:
-    """(chunks, FILTERS), a bounded number of chunks at a time."""
+def _end_texts(r: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Take out the places of texts' last chunks that reach into the next text (the padding before them stays)."""
+    r[last, (CHUNK - WIDTH) // STRIDE + 1 :] = -np.inf
+    return r
+
+
+def chunk_maxima(flat: np.ndarray, tables: np.ndarray, bias: np.ndarray, last: np.ndarray, block: int = 512) -> np.ndarray:
+    """(chunks, FILTERS), a bounded number of chunks at a time; ``last`` tells the last chunk of each text."""
     out, size = [], block * CHUNK
     for at in range(0, len(flat), size):
         part = flat[at : at + size + WIDTH]  # the next block's first bytes belong to this one's last chunk
@@ -69,7 +75,8 @@ def chunk_maxima(flat: np.ndarray, tables: np.ndarray, bias: np.ndarray, block:
         if len(part) > whole:
             n = -(-len(part) // CHUNK) * CHUNK
             part = np.append(part, np.zeros(n - len(part), np.uint8))
-        out.append(responses(part, tables)[: whole // CHUNK].max(axis=1))
+        r = responses(part, tables)[: whole // CHUNK]
+        out.append(_end_texts(r, last[at // CHUNK : at // CHUNK + len(r)]).max(axis=1))
     return np.maximum(np.concatenate(out) + bias, 0)
 
 
@@ -77,6 +84,12 @@ def _combined(top: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return np.hstack([np.add.reduceat(top, starts, axis=0) / counts[:, None], np.maximum.reduceat(top, starts, axis=0)])
 
 
+def _last(counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(counts.sum()), bool)
+    out[np.cumsum(counts) - 1] = True
+    return out
+
+
 def scores(network: Network, texts: list[str | None]) -> np.ndarray:
     """Probability of label 1 for each whole text; null counts as empty."""
     tables, out = network.tables(), []
@@ -84,7 +97,7 @@ def scores(network: Network, texts: list[str | None]) -> np.ndarray:
 
     def flush() -> None:
         counts = np.array([len(b) // CHUNK for b in batch])
-        top = chunk_maxima(np.concatenate(batch), tables, network.bias)
+        top = chunk_maxima(np.concatenate(batch), tables, network.bias, _last(counts))
         x = _combined(top, np.cumsum(counts) - counts, counts)
         out.append(1 / (1 + np.exp(-(x.astype(np.float64) @ network.weight.astype(np.float64) + float(network.offset[0])))))
         batch.clear()
@@ -121,9 +134,10 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 8, batch: int = 32
             counts = np.array([len(data[i]) // CHUNK for i in some])
             starts = np.cumsum(counts) - counts
             flat = np.concatenate([data[i] for i in some])
-            where, top = [], []
+            where, top, last = [], [], _last(counts)
             for c in range(0, int(counts.sum()), 512):  # a bounded number of chunks at a time
-                r = responses(np.append(flat[c * CHUNK : (c + 512) * CHUNK + CHUNK], np.zeros(0, np.uint8)), tables)[: min(512, int(counts.sum()) - c)]
+                r = responses(flat[c * CHUNK : (c + 513) * CHUNK], tables)[: min(512, int(counts.sum()) - c)]
+                r = _end_texts(r, last[c : c + len(r)])
                 best = r.argmax(axis=1)
                 where.append(best * STRIDE + (np.arange(len(r)) + c)[:, None] * CHUNK)
                 top.append(np.take_along_axis(r, best[:, None, :], axis=1)[:, 0])
