@@ -3,12 +3,13 @@
 Words are runs of letters and digits, lower case. A window has as many words as the item. Any window
 similar to an item shares a shingle with it, so only windows over such a shingle are fingerprinted:
 that prefilter loses nothing. A window's 64-bit SimHash is looked up in a multi-index of the items'
-fingerprints: four blocks of 16 bits, of which at least one differs in a quarter of the radius or
+fingerprints: eight blocks of 8 bits, of which at least one differs in an eighth of the radius or
 less if the whole differs in the radius or less. Candidates within the radius are then verified by
 the exact weighted similarity of shingles: sums of minimum and maximum weight, a shingle's weight
 being its count times its number of characters.
 
-Items are a query set of stated size; they go to executors in blocks.
+Items are a query set of stated size; they go to executors in blocks, and a pass over the texts has a
+bounded number of them, so what a worker holds does not grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -60,7 +62,7 @@ def simhash(grams: list[tuple[str, ...]]) -> int:
 class HammingIndex:
     """All fingerprints within ``radius`` of a query, by blocks: every value near an item's block lists it."""
 
-    def __init__(self, fps: list[int], radius: int, blocks: int = 4):
+    def __init__(self, fps: list[int], radius: int, blocks: int = 8):
         self.fps, self.radius, width = np.array(fps, np.uint64), radius, 64 // blocks
         flips = [sum(1 << b for b in c) for r in range(radius // blocks + 1) for c in combinations(range(width), r)]
         flips = np.array(flips, np.uint64)
@@ -77,8 +79,8 @@ class HammingIndex:
         for shift, starts, items in self.tables:
             v = (fp >> shift) & self.mask
             found.append(items[starts[v] : starts[v + 1]])
-        some = np.unique(np.concatenate(found))
-        return some[np.bitwise_count(self.fps[some] ^ np.uint64(fp)) <= self.radius]
+        some = np.concatenate(found)
+        return np.unique(some[np.bitwise_count(self.fps[some] ^ np.uint64(fp)) <= self.radius])
 
 
 class Scanner:
@@ -129,9 +131,8 @@ class Scanner:
                         out[i] = out_i
         return out
 
-    def scan(self, text: str | None) -> list[tuple[int, int, int, float]]:
+    def scan(self, words: list[str]) -> list[tuple[int, int, int, float]]:
         """(item_id, first word, words, similarity) of each found item's most similar, first window."""
-        words = words_of(text)
         best: dict[int, tuple[float, int]] = {}
         anchors = self.anchors(words)
         by_size: dict[int, set[int]] = {}
@@ -174,12 +175,14 @@ def decontaminate(
     threshold: float = 0.8,
     radius: int = 23,
     block: int = 1000,
+    per_pass: int = 10_000,
     most_items: int = 100_000,
 ) -> DataFrame:
     """``(doc_id, item_id, start_word, n_words, similarity)`` for each document and item it holds.
 
     The stated query set is the benchmark: its distinct items with words, at most ``most_items`` (more
-    raise ``ValueError``), sent to executors in blocks of ``block``. Null texts have no words and match
+    raise ``ValueError``), searched in blocks of ``block``. Each ``per_pass`` items take one pass over
+    the texts, so a worker holds the index of so many at most. Null texts have no words and match
     nothing; repeated documents are reported each; items of one text are reported each; a null id is
     carried as null; empty tables give empty results; other columns are not read.
     """
@@ -187,19 +190,22 @@ def decontaminate(
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
     items = [(r["i"], w) for r in rows if (w := words_of(r["t"]))]
-    tag = uuid.uuid4().hex
     names = ["doc_id", "item_id", "start_word", "n_words", "similarity"]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = _scanners(tag, items, shingle, threshold, radius, block)
+    def found(batches: Iterator[pa.RecordBatch], tag: str, some: list) -> Iterator[pa.RecordBatch]:
+        scanners = _scanners(tag, some, shingle, threshold, radius, block)
         for b in batches:
             hits, row = [], []
             for n, t in enumerate(b.column("_text")):
-                new = [h for s in scanners for h in s.scan(t.as_py())]
+                words = words_of(t.as_py())
+                new = [h for s in scanners for h in s.scan(words)]
                 hits += new
                 row += [n] * len(new)
             cols = list(zip(*hits)) if hits else [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(found, f"doc_id {docs.schema[id].dataType.simpleString()}, item_id long, start_word long, n_words long, similarity double")
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text"))
+    schema = f"doc_id {docs.schema[id].dataType.simpleString()}, item_id long, start_word long, n_words long, similarity double"
+    passes = [partial(found, tag=uuid.uuid4().hex, some=items[k : k + per_pass]) for k in range(0, max(1, len(items)), per_pass)]
+    return reduce(DataFrame.unionAll, [texts.mapInArrow(f, schema) for f in passes])

@@ -394,6 +394,8 @@ def test_decontamination_equals_brute_force(spark, small, odd, none):
     got = decontam.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), some).collect()
     want = {(d, i): x for d, t in enumerate(texts) for i, x in brute_leaks(t, items).items()}
     assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got} == want and len(want) >= 20
+    split = decontam.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), some, per_pass=5, block=2).collect()
+    assert sorted(split) == sorted(got)
     tiny = spark.createDataFrame([(1, "three four"), (2, None), (3, ""), (4, "one two three four five six seven eight nine")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.decontaminate(odd, tiny).collect()} == {(3, 1), (3, 4), (4, 1), (4, 4)}
     assert decontam.decontaminate(none, bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == 0
@@ -402,10 +404,11 @@ def test_decontamination_equals_brute_force(spark, small, odd, none):
 def test_hamming_index():
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 1 << 63, 60, dtype=np.int64)]
-    index = decontam.HammingIndex(fps, 11)
-    for f in fps:
-        q = f ^ sum(1 << int(b) for b in rng.choice(64, 11, replace=False))
-        assert set(index.near(q)) == {i for i, g in enumerate(fps) if (g ^ q).bit_count() <= 11}
+    for radius in (11, 23):
+        index = decontam.HammingIndex(fps, radius)
+        for f in fps:
+            q = f ^ sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            assert set(index.near(q)) == {i for i, g in enumerate(fps) if (g ^ q).bit_count() <= radius}
 
 
 # --- pipeline
