@@ -86,8 +86,8 @@ def collapse(pts: DataFrame) -> DataFrame:
 def zero_fill(pts: DataFrame) -> DataFrame:
     """A point for every x of every key; missing ones are 0.
 
-    Keys and x values of a chart are few: the sides are distinct values, and the x side is gathered
-    per key, so no pairs of rows are made.
+    The result is by definition every distinct x with every distinct key, and only these lists are
+    paired, never rows; a chart's lists are short (``check_size``).
     """
     xs = pts.select("x").distinct()
     keys = pts.select("key").distinct()

@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: range numbers stay the same wherever they are read again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
+    return df.checkpoint()
+
+
 def box_plot(df: DataFrame, key: str | None, value: str, parts: int = 4) -> DataFrame:
     """``(key, i, v)``: the order statistics at ``min(floor(size / parts * i), size - 1)``, i from 0 to ``parts``.
 
-    NaN and null values are skipped; without ``key`` all rows are one group. Ranks come from a window
-    that sorts and spills, so a hot key's values are never held at once.
+    NaN and null values are skipped; without ``key`` all rows are one group. Equal values are counted
+    before any exchange, then dealt by ranges of key and value, so a hot key is spread over tasks and
+    a hot value is one row. A range knows how many rows of a key lie before it.
     """
     rows = df.select((F.col(key) if key else F.lit("")).alias("key"), F.col(value).try_cast("double").alias("v")).where("v is not null and not isnan(v)")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    i = F.explode(F.sequence(F.lit(0), F.lit(parts)))
-    wanted = sizes.select("key", i.alias("i"), "size").select("key", "i", F.least(F.floor(F.col("size") / F.lit(float(parts)) * F.col("i")), F.col("size") - 1).cast("long").alias("r"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("v")).cast("long") - 1)
-    wanted = wanted.select(F.col("key").alias("_key"), F.col("r").alias("_r"), F.col("i").cast("int").alias("i"))
-    return ranked.join(wanted, F.col("key").eqNullSafe(F.col("_key")) & (F.col("r") == F.col("_r"))).select("key", "i", "v")
+    counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = _settled(counted.repartitionByRange("key", "v").withColumn("_part", F.spark_partition_id()))
+    of_key = Window.partitionBy("key")
+    ranges = ranged.groupBy("_part", "key").agg(F.sum("n").alias("m"))
+    earlier = F.sum("m").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(F.col("_part").alias("_p"), F.col("key").alias("_key"), F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("m").over(of_key).alias("_size"))
+    upto = ranged.withColumn("_upto", F.sum("n").over(Window.partitionBy("_part", "key").orderBy("v")))
+    placed = upto.join(ranges, (F.col("_part") == F.col("_p")) & F.col("key").eqNullSafe(F.col("_key"))).withColumn("_to", F.col("_before") + F.col("_upto"))
+
+    def is_here(i: Column) -> Column:
+        rank = F.least(F.floor(F.col("_size") / F.lit(float(parts)) * i), F.col("_size") - 1)
+        return (rank < F.col("_to")) & (rank >= F.col("_to") - F.col("n"))
+
+    return placed.select("key", F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts)), is_here)).alias("i"), "v")
 
 
 def count_by_key(df: DataFrame, key: Column) -> DataFrame:
@@ -54,7 +72,7 @@ def runs(df: DataFrame, order: list[str], keys: list[str], within: list[str] | N
         return marked.withColumn("run", F.sum("_new").over(w)).groupBy(*within, "run", *keys).agg(F.count(F.lit(1)).alias("n"))
     # ranges of the order, one per partition; each knows its key at both ends and how many runs it begins
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.select("_part", *order, *keys)
+    ranged = _settled(ranged.select("_part", *order, *keys))
     local = Window.partitionBy("_part").orderBy(*order)
     same = F.struct(*keys).eqNullSafe(F.lag(F.struct(*keys)).over(local))
     marked = ranged.withColumn("_first", F.row_number().over(local) == 1).withColumn("_new", F.when(F.col("_first"), 1).otherwise((~same).cast("int")))

@@ -99,6 +99,14 @@ def test_stats(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 3, 2, 4)] + [("b", float("nan")), ("b", 7.0), (None, None)], "k string, v double")
     got = {(r.key, r.i): r.v for r in stats.box_plot(df, "k", "v").collect()}
     assert [got["a", i] for i in range(5)] == [1.0, 2.0, 3.0, 4.0, 5.0] and got["b", 4] == 7.0 and len(got) == 10
+    hot = [("a" if i % 3 else None, float(i * 7 % 11)) for i in range(500)] + [("b", 3.0)] * 400 + [("c", 1.0)]
+    want = {}
+    for k in {k for k, _ in hot}:
+        v = sorted(x for y, x in hot if y == k)
+        want |= {(k, i): v[min(int(len(v) / 7 * i), len(v) - 1)] for i in range(8)}
+    got = stats.box_plot(spark.createDataFrame(hot, "k string, v double").repartition(5), "k", "v", 7).collect()
+    assert {(r.key, r.i): r.v for r in got} == want and len(got) == len(want)
+    assert stats.box_plot(df.limit(0), None, "v").count() == 0
     seq = [(i, k) for i, k in enumerate("aabbbaacaa" * 30)]
     runs = stats.runs(spark.createDataFrame(seq, "i long, k string").repartition(7), ["i"], ["k"]).orderBy("run").collect()
     from itertools import groupby
