@@ -29,7 +29,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+# a body has no armour line in it; line ends may be written out as in JSON strings
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.]|\\[rn]|-(?!----))*+)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 Span = tuple[int, int, int]  # start, end, index in KINDS
@@ -140,9 +141,10 @@ def confirmed_spans(text: str) -> list[Span]:
         out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = re.sub(r"^\s*(?:[A-Za-z0-9-]+:[^\n]*\n)+", "", m[2])  # headers of encrypted keys
+            lines = m[2].replace("\\r", "").replace("\\n", "\n")
+            body = re.sub(r"^\s*(?:[A-Za-z0-9-]+:[^\n]*\n)+", "", lines)  # headers of encrypted keys
             kind = _key_kind(_decoded(body) or b"")
-            if kind is None and body != m[2] and "ENCRYPTED" in m[2] and len(_decoded(body) or b"") >= 64:
+            if kind is None and body != lines and "ENCRYPTED" in m[2] and len(_decoded(body) or b"") >= 64:
                 kind = 4
             if kind is not None:
                 out.append((m.start(), m.end(), kind))
