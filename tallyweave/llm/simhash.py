@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ from .common import checkpoint
 from .graph import connected_components
 
 BITS = 64
+#: Tasks over which the fingerprints of one component are dealt when they learn its first row.
+SALTS = 16
 _EVEN = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 _PLACES = np.arange(8, dtype=np.int64) * 256
@@ -161,6 +163,23 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return points.repartition("point").sortWithinPartitions("point").mapInArrow(to_links, "a long, b long")
 
 
+def _components(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """``(_fp, first)``: for each distinct ``_fp``, the least ``first`` of its component.
+
+    Rows are counted down to distinct fingerprints before any exchange. Only fingerprints with links
+    are joined by component; a component of very many fingerprints is salted over ``SALTS`` tasks.
+    The result is checkpointed, so that a later join by ``_fp`` reads exchanges on both sides and
+    adaptive execution can split a hot fingerprint.
+    """
+    distinct = prints.groupBy("_fp").agg(F.min(first).alias("least"))
+    linked = connected_components(near_links(distinct, radius)).select(F.col("node").alias("_fp"), "component")
+    salt = F.pmod(F.xxhash64("_fp"), F.lit(SALTS)).cast("int")
+    firsts = linked.join(distinct, "_fp").groupBy("component").agg(F.min("least").alias("first"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    moved = linked.withColumn("salt", salt).join(firsts, ["component", "salt"]).select("_fp", "first")
+    return checkpoint(distinct.join(moved, "_fp", "left").select("_fp", F.coalesce("first", "least").alias("first")))
+
+
 def simhash_components(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4  # noqa: A002
 ) -> DataFrame:
@@ -173,19 +192,21 @@ def simhash_components(
     an empty result. Other columns of ``docs`` are not read.
     """
     marked = checkpoint(with_fingerprints(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", shingle, seed))
-    distinct = marked.groupBy("_fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(near_links(distinct, radius)).select(F.col("node").alias("_fp"), "component")
-    placed = distinct.join(found, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
-    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("_fp", "component_id")
+    named = _components(marked, F.col("doc_id"), radius).withColumnRenamed("first", "component_id")
     return marked.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id (rows without id stay).
+def near_dedup(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4  # noqa: A002
+) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id (a null id comes last).
 
-    Of repeated rows of one id the first by text, then any, stays.
+    Rows of one id but different texts are told apart by a hash of the text, the smallest stays; of
+    rows equal in both any one stays. A component without ids keeps one row too. Null and word-free
+    texts are one component (and those linked to it). ``docs`` has no column ``__row``.
     """
-    found = simhash_components(docs, id=id, text=text, **how)
-    keep = found.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    once = docs.where(F.col(id).isNotNull()).join(keep, F.col(id) == F.col("_keep"), "left_semi").dropDuplicates([id])
-    return once.unionByName(docs.where(F.col(id).isNull()))
+    row = F.struct(F.col(id).isNull().alias("no_id"), F.col(id).alias("id"), F.xxhash64(text).alias("text"))
+    marked = checkpoint(with_fingerprints(docs.select(row.alias("row"), F.col(text).alias("text")), ["row"], "text", shingle, seed))
+    keep = _components(marked, F.col("row"), radius).select(F.col("first").alias("__row")).distinct()
+    # one key, compared as a whole, so that the join and the choice among equal rows share an exchange
+    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import chat, classifier, decontam, lm, packing, quality, rollup, secrets, shard, simhash, tokens
 from tallyweave.llm.queries import ORACLE_SQL, QUERIES
@@ -90,6 +91,12 @@ def test_secret_structures():
     assert kinds(b64(key_der()[:-1])) == kinds(b64(b"\x30\x82\x01\x00" + bytes(300))) == set()
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(key_der())}\n-----END RSA PRIVATE KEY-----") == {"der_key"}
     assert kinds("-----BEGIN PRIVATE KEY-----\nhello\n-----END PRIVATE KEY-----") == set()
+    lines = "\n".join(re.findall(".{1,30}", b64(key_der())))
+    armour = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nMIIC a key that was cut off, then prose\n"
+    assert [(cut + armour)[s:e] for s, e, _ in secrets.confirmed_spans(cut + armour)] == [armour]
+    assert kinds(json.dumps({"key": armour})) == {"der_key"}
+    assert kinds(cut * 3000) == set()
     assert kinds(b64(ssh)) == {"openssh_key"} and kinds(b64(b"user password: hunter2222 and more")) == {"wrapped"}
     assert kinds("electroencephalographically" * 3) == set()
 
@@ -276,6 +283,26 @@ def test_simhash_query(spark, small, odd, none):
     assert sorted(r.doc_id or 0 for r in simhash.near_dedup(odd).collect()) == [0, 1, 3, 9]
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    low, high, other = "one two three four five six", "alpha beta gamma delta epsilon zeta", "uno dos tres cuatro cinco seis"
+    rows = [(5, low), (5, low), (5, high), (2, high), (7, other), (None, other), (None, None), (None, ""), (None, "sole words of a row without id")]
+    df = spark.createDataFrame(rows * 20, "doc_id long, text string").withColumn("component", F.lit(1))
+    got = simhash.near_dedup(df)
+    assert got.columns == df.columns
+    left = Counter((r.doc_id, r.text or "") for r in got.collect())
+    assert left == Counter({(5, low): 1, (2, high): 1, (7, other): 1, (None, ""): 1, (None, "sole words of a row without id"): 1})
+
+
+def test_large_component_is_salted(spark):
+    """A chain of fingerprints, each linked to the next only, is one component under any salt."""
+    chain = [0]
+    for k in range(63):
+        chain.append(chain[-1] | 1 << k)
+    prints = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), 100 - i) for i, f in enumerate(chain)], "_fp long, doc_id long")
+    got = simhash._components(prints, F.col("doc_id"), 4).collect()
+    assert len(got) == len(chain) and {r["first"] for r in got} == {100 - 63}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_grid_join_finds_all_links(spark, seed):
     rng = np.random.default_rng(seed)
