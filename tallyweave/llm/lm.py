@@ -3,7 +3,9 @@
 Every word is predicted from the two words on either side. Words are ids: the most frequent words
 of the corpus, counted over all of it, and buckets of the rest by hash. The network has one table of
 hidden contributions for each place of the window, and a softmax in two steps, class and member, so a
-prediction costs a small part of the vocabulary. A document's score is the sum of the conditional
+prediction costs a small part of the vocabulary. A word of a bucket has the bucket's probability in its
+context times the word's share of the bucket's counts; these counts are a distributed table of all words
+of the corpus, which texts meet by a join. A document's score is the sum of the conditional
 log-probabilities of its words.
 
 Training covers all documents. In each round the documents of that round are learned where they
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, scratch_path
 
 CLASSES = MEMBERS = 32
 VOCABULARY = CLASSES * MEMBERS
@@ -34,6 +36,7 @@ RARE = 32  # buckets of words outside the list
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 EDGE = VOCABULARY  # what lies beyond a text's ends
+UNIT = 1 << 32  # log shares are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 SHAPES = ((len(OFFSETS), VOCABULARY + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, MEMBERS), (CLASSES, MEMBERS))
 
 
@@ -232,6 +235,14 @@ def score_text(weights: list[np.ndarray], ids: np.ndarray, block: int = 1 << 16)
     return sum(float(log_probabilities(weights, target[a : a + block], context[:, a : a + block]).sum(dtype=np.float64)) for a in range(0, len(ids), block))
 
 
+def log_shares(counts: DataFrame, words: list[str]) -> DataFrame:
+    """``(word, share)`` of all words but the listed: log of the word's share of its bucket, in 1 / UNIT."""
+    rare = counts.where(~F.col("word").isin(words)).withColumn("bucket", (F.crc32("word") % RARE).cast("int"))
+    sums = {r["bucket"]: r["n"] for r in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # RARE rows at most
+    total = F.array(*[F.lit(float(sums.get(b, 1))) for b in range(RARE)])
+    return rare.select("word", F.round(F.log(F.col("n") / total[F.col("bucket")]) * UNIT).cast("long").alias("share"))
+
+
 def pseudo_likelihood(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:  # noqa: A002
     """``(doc_id, n_words, log_likelihood, mean_log_likelihood)`` for each row of ``docs``.
 
@@ -239,14 +250,19 @@ def pseudo_likelihood(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     empty, blank) have 0 words, sum 0.0 and a null mean; repeated rows are scored each; an empty table
     gives an empty result; other columns are not read.
     """
-    words = [r["word"] for r in word_counts(docs, text).orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()]
+    counts = checkpoint(word_counts(docs, text))
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()]
     weights = train(docs, words, text=text, **how)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id].dataType), *T._parse_datatype_string("n_words long, log_likelihood double, mean_log_likelihood double").fields])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id].dataType), *T._parse_datatype_string("n_words long, total double, rare string").fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(words)
         for b in batches:
-            ids = [known.of((t.as_py() or "").split()) for t in b.column("_text")]
+            ids, rare = [], []
+            for t in b.column("_text"):
+                split = (t.as_py() or "").split()
+                ids.append(known.of(split))
+                rare.append(" ".join([split[i] for i in np.flatnonzero(ids[-1] >= VOCABULARY - RARE).tolist()]))
             n, total = np.array([len(x) for x in ids], np.int64), np.zeros(len(ids))
             at = 0
             while at < len(ids):  # short texts together, about 64k words at a time; a long one by itself
@@ -262,7 +278,15 @@ def pseudo_likelihood(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
                     sums = np.concatenate([[0.0], np.cumsum(p)])
                     total[at:to] = sums[ends] - sums[ends - n[at:to]]
                 at = to
-            mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, mask=n == 0)], names=[f.name for f in schema.fields])
-
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(rows, schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(rare, pa.string())], names=[f.name for f in schema.fields])
+
+    path = scratch_path(docs.sparkSession, "lm-scores")  # written once, so that a row keeps its number
+    scored = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(rows, schema)
+    scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    scored = docs.sparkSession.read.parquet(path)
+    each = scored.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    shares = each.join(log_shares(counts, words), "word").groupBy("row").agg(F.sum("share").alias("share"))
+    whole = F.col("total") + F.coalesce(F.col("share"), F.lit(0)) / UNIT
+    return scored.select("row", "doc_id", "n_words", "total").join(shares, "row", "left").select(
+        "doc_id", "n_words", whole.alias("log_likelihood"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log_likelihood")
+    )

@@ -64,6 +64,24 @@ def test_lm_counts(spark, small):
     assert {r.word: r.n for r in lm.word_counts(docs(spark), most=500).collect()} == want
 
 
+def test_lm_every_word_has_its_own_probability(spark):
+    listed = [f"w{i:03d}" for i in range(lm.VOCABULARY - lm.RARE)]
+    bucket = lambda w: zlib.crc32(w.encode()) % lm.RARE
+    right = "right"
+    garbled = next(f"g{i}" for i in range(10_000) if bucket(f"g{i}") == bucket(right))
+    filler = [f"x{i}" for i in range(400) if bucket(f"x{i}") != bucket(right)]
+    texts = {1: " ".join(["w000", "w001", right, "w002"]), 2: " ".join(["w000", "w001", garbled, "w002"]), 3: " ".join(listed * 5), 4: " ".join(filler), 5: " ".join([right] * 3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.pseudo_likelihood(df).collect()}
+    assert got[1].log_likelihood - got[2].log_likelihood == pytest.approx(np.log(4), abs=1e-4)
+    assert all(got[d].n_words == len(t.split()) and got[d].mean_log_likelihood == got[d].log_likelihood / got[d].n_words for d, t in texts.items())
+    counts = spark.createDataFrame([(w, n) for w, n in Counter(" ".join(texts.values()).split()).items()], "word string, n long")
+    by_bucket = Counter()
+    for r in lm.log_shares(counts, listed).collect():
+        by_bucket[bucket(r.word)] += np.exp(r.share / lm.UNIT)
+    assert len(by_bucket) == lm.RARE and list(by_bucket.values()) == pytest.approx([1.0] * lm.RARE)
+
+
 # --- secrets
 def key_der():
     num = lambda n: b"\x02" + bytes([len(n)]) + n
