@@ -5,6 +5,10 @@ words. Each is compared with a reference histogram of the document's language (t
 all documents of that language that pass the base rules) by the Jensen-Shannon distance, the square
 root of the divergence in bits, which lies between 0 and 1. Documents under a minimum length are
 too short for a histogram to mean anything and get no divergence verdict.
+
+The slot of all other words holds most of any text, so a text without common words is far below 1
+from its reference. Its distance is the scale of the language: a document with fewer common words
+than the reference is odd beyond a part of it.
 """
 
 from __future__ import annotations
@@ -147,13 +151,17 @@ def quality_rules(
     max_class_distance: float = 0.30,
     min_word_count: int = 100,
     max_word_distance: float = 0.40,
+    max_word_part: float = 0.80,
+    min_common: int = 20,
 ) -> DataFrame:
     """One row per document: its counts, both distances, ``base_failed``, ``kept``.
 
     Base rules: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of the words in
     repeated 8-word windows. The divergence verdict needs ``min_chars`` characters in words for
     the character classes and ``min_word_count`` words for the common words; below these the
-    distance is still reported but not judged. A null text counts as empty (base_failed); a null
+    distance is still reported but not judged. Common words fail beyond ``max_word_distance``, or, if
+    the reference has more of them, beyond ``max_word_part`` of the distance of a text that has none;
+    the latter only where the reference lets a text of that length expect ``min_common`` of them. A null text counts as empty (base_failed); a null
     language is a language of its own; repeated rows are judged alike, each on its own; an empty
     table gives an empty result; a language none of whose documents pass has no reference, and its
     documents stay with the base rules.
@@ -165,13 +173,18 @@ def quality_rules(
     sums = [F.array(*[F.sum(F.col(c)[i].cast("long")) for i in range(n)]).alias(f"{c}_ref") for c, n in width.items()]
     # one row per language; joined null-safely, broadcast only if Spark finds it small
     reference = rated.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_ref_lang")).agg(*sums)
+    none = F.array(*[F.lit(0)] * WORD_SLOTS, F.lit(1))
+    share = lambda c: 1 - F.col(c)[WORD_SLOTS] / F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    reference = reference.withColumns({"_bare": js_distance(none, F.col("_common_ref")), "_usual": share("_common_ref")})
     judged = rated.join(reference, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
     distance = lambda c: F.when(F.col(f"{c}_ref").isNull(), F.lit(0.0)).otherwise(js_distance(F.col(c), F.col(f"{c}_ref")))
+    expected = F.col("n_words") * F.col("_usual") >= min_common
+    bare = expected & (share("_common") < F.col("_usual")) & (F.col("word_distance") > F.col("_bare") * max_word_part)
     odd = reduce(
         Column.__or__,
         [
             (F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance),
-            (F.col("n_words") >= min_word_count) & (F.col("word_distance") > max_word_distance),
+            (F.col("n_words") >= min_word_count) & ((F.col("word_distance") > max_word_distance) | F.coalesce(bare, F.lit(False))),
         ],
     )
     return (

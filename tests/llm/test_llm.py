@@ -270,6 +270,22 @@ def test_quality_distance(spark):
     assert [r.d for r in got[:3]] == pytest.approx([want(*r) for r in rows[:3]]) and got[3].d == 1.0
 
 
+def test_quality_rejects_long_text_without_common_words(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang in ("en", "fr"):
+        common, other = quality.COMMON_WORDS[lang], [f"{lang}word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+        rows += [(i, lang, " ".join(str(w) for w in rng.permutation([*rng.choice(common, 36), *rng.choice(other, 164)]))) for i in range(30)]
+        rows.append((100, lang, " ".join(rng.choice(other, 200))))
+        rows.append((101, lang, " ".join(rng.choice(other, 60))))  # too short to judge
+    plain = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    rows += [(i, "xx", " ".join([*rng.choice(plain, 199), "the"][i % 2 :])) for i in range(30)]  # common words are rare in this language
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    assert len(got) == 94 and not any(r.base_failed for r in got)
+    assert sorted(r.doc_id for r in got if not r.kept) == [100, 100]
+    assert all(0.25 < r.word_distance < 0.40 for r in got if r.doc_id == 100)
+
+
 # --- near duplicates
 def naive_fingerprint(t):
     import xxhash
