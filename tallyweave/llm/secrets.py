@@ -3,8 +3,8 @@
 Three base kinds are patterns (assign, access, hex). The other kinds are reported only when a
 decoded candidate has the structure of a key: signed tokens whose header decodes to JSON with an
 algorithm, DER whose nested lengths close exactly around a private key's fields (in base64 or hex,
-armoured or bare), OpenSSH key files with their length-prefixed fields, and base64 text that decodes
-to a base secret.
+armoured or bare), OpenSSH key files with their length-prefixed fields, and base64 or hex text that
+decodes to a base secret.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 # a body has no armour line in it; line ends may be written out as in JSON strings
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.]|\\[rn]|-(?!----))*+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+# the shortest base secret, such as token=abcdef, has 12 bytes
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 Span = tuple[int, int, int]  # start, end, index in KINDS
 
 
@@ -134,6 +135,16 @@ def _key_kind(data: bytes) -> int | None:
     return 4 if is_der_private_key(data) else None
 
 
+def _decoded_kind(data: bytes | None) -> int | None:
+    """Of a key, or of text that holds a base secret."""
+    if not data:
+        return None
+    if (kind := _key_kind(data)) is not None:
+        return kind
+    plain = data.isascii() and all(32 <= b < 127 or b in b"\t\r\n" for b in data)
+    return 6 if plain and base_spans(data.decode("ascii")) else None
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of candidates whose decoded structure is a secret's."""
     out: list[Span] = []
@@ -156,14 +167,10 @@ def confirmed_spans(text: str) -> list[Span]:
             data = None  # a long word; key encodings and wrapped text hold digits or capitals
         else:
             data = _decoded(found)
-        if not data:
-            continue
-        if (kind := _key_kind(data)) is not None:
+        if (kind := _decoded_kind(data)) is not None:
             out.append((m.start(), m.end(), kind))
-        elif data.isascii() and all(32 <= b < 127 or b in b"\t\r\n" for b in data) and base_spans(data.decode("ascii")):
-            out.append((m.start(), m.end(), 6))
     for m in _LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))) is not None:
+        if len(m[0]) % 2 == 0 and (kind := _decoded_kind(bytes.fromhex(m[0]))) is not None:
             out.append((m.start(), m.end(), kind))
     return out
 
