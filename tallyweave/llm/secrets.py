@@ -4,7 +4,7 @@ Three base kinds are patterns (assign, access, hex). The other kinds are reporte
 decoded candidate has the structure of a key: signed tokens whose header decodes to JSON with an
 algorithm, DER whose nested lengths close exactly around a private key's fields (in base64 or hex,
 armoured or bare), OpenSSH key files with their length-prefixed fields, and base64 or hex text that
-decodes to a base secret.
+decodes to a base secret. Bare runs are tried alone and joined over line ends.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +30,18 @@ KINDS = (*BASE_KINDS, "jwt", "der_key", "openssh_key", "wrapped")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+# JSON begins with a brace or white space: C, D, I or e in base64
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([CDIe][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 # a body has no armour line in it; line ends may be written out as in JSON strings
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.]|\\[rn]|-(?!----))*+)-----END \1-----")
 # the shortest base secret, such as token=abcdef, has 12 bytes
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
+# a run and those of the next lines; line ends may be written out, the first run does not begin in an escape
+_LINE_END = r"(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*"
+_BASE64_LINES = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{16,}(?:" + _LINE_END + r"[A-Za-z0-9+/_-]+)+={0,2}")
+_HEX_LINES = re.compile(r"(?:(?<=\\[nrt])|(?<![0-9A-Za-z\\]))[0-9A-Fa-f]{16,}(?:" + _LINE_END + r"[0-9A-Fa-f]+(?![0-9A-Za-z]))+")
+_LINE_ENDS = re.compile(_LINE_END)
 Span = tuple[int, int, int]  # start, end, index in KINDS
 
 
@@ -66,7 +74,7 @@ def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | N
 
 
 def is_der_private_key(data: bytes) -> bool:
-    """An RSA, EC, PKCS#8 or encrypted PKCS#8 private key whose lengths nest exactly."""
+    """An RSA, DSA, EC, PKCS#8 or encrypted PKCS#8 private key whose lengths nest exactly."""
     top = _der_items(data, 0, len(data)) if data[:1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
@@ -77,6 +85,8 @@ def is_der_private_key(data: bytes) -> bool:
     version = data[body[0][1] : body[0][2]]
     if tags[:9] == [2] * 9 and version in (b"\0", b"\1"):  # RSA: version and eight integers
         return body[1][2] - body[1][1] >= 32
+    if tags == [2] * 6 and version == b"\0":  # DSA: version, p, q, g, public and private number
+        return body[1][2] - body[1][1] >= 32
     if tags[:2] == [2, 4] and version == b"\1":  # EC: version 1, the key's octets, tagged parameters
         return body[1][2] - body[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
     if tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1"):  # PKCS#8: version, algorithm, octets
@@ -145,10 +155,63 @@ def _decoded_kind(data: bytes | None) -> int | None:
     return 6 if plain and base_spans(data.decode("ascii")) else None
 
 
+def _unhexed(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
+def _joined_spans(text: str, lines: re.Match, decoded: Callable[[str], bytes | None], size: int) -> list[Span]:
+    """Secrets over two or more lines of ``lines``; ``size`` characters encode up to three bytes.
+
+    DER states its length, so it is looked for at every run and ends where that many characters do.
+    Otherwise runs of one length, with or without a shorter last one, are taken as a whole.
+    """
+    runs, at = [], lines.start()
+    for m in _LINE_ENDS.finditer(text, lines.start(), lines.end()):
+        runs.append((at, m.start()))
+        at = m.end()
+    runs.append((at, at + len(text[at : lines.end()].rstrip("="))))
+    ends = list(accumulate(e - s for s, e in runs))  # characters up to and with each run
+    joined = "".join(text[s:e] for s, e in runs)
+    out: list[Span] = []
+
+    def found(first: int, last: int) -> bool:
+        before = ends[first] - (runs[first][1] - runs[first][0])
+        kind = _decoded_kind(decoded(joined[before : ends[last]]))
+        if kind is not None:
+            out.append((runs[first][0], lines.end() if last + 1 == len(runs) else runs[last][1], kind))
+        return kind is not None
+
+    i = tried = 0  # runs before ``tried`` were part of a group
+    while i < len(runs):
+        before = ends[i] - (runs[i][1] - runs[i][0])
+        head = decoded(joined[before : before + 4 * size]) or b""
+        if head[:1] == b"\x30" and len(head) >= 6:
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            whole = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) if n <= 4 else 0
+            last = bisect_left(ends, before - (-whole * size // 3))
+            if i < last < len(runs) and ends[last] - before == -(-whole * size // 3) and found(i, last):
+                i = tried = last + 1
+                continue
+        if i >= tried or head.startswith(b"openssh-key"):
+            width, last = runs[i][1] - runs[i][0], i
+            while last + 1 < len(runs) and runs[last + 1][1] - runs[last + 1][0] == width:
+                last += 1
+            short = last + 1 < len(runs) and runs[last + 1][1] - runs[last + 1][0] < width
+            if width >= 16 and short and found(i, last + 1):
+                i = tried = last + 2
+                continue
+            if width >= 16 and last > i and found(i, last):
+                i = tried = last + 1
+                continue
+            tried = max(tried, last + 1)
+        i += 1
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of candidates whose decoded structure is a secret's."""
     out: list[Span] = []
-    if "eyJ" in text:
+    if "." in text:
         out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
@@ -159,6 +222,9 @@ def confirmed_spans(text: str) -> list[Span]:
                 kind = 4
             if kind is not None:
                 out.append((m.start(), m.end(), kind))
+    for pattern, decoded, size in ((_BASE64_LINES, _decoded, 4), (_HEX_LINES, _unhexed, 6)):
+        for m in pattern.finditer(text):
+            out += [x for x in _joined_spans(text, m, decoded, size) if not any(s <= x[0] and x[1] <= e for s, e, _ in out)]
     for m in _BASE64.finditer(text):
         if any(s <= m.start() and m.end() <= e for s, e, _ in out):
             continue

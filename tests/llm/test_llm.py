@@ -128,6 +128,37 @@ def test_secret_short_wrapped_text():
         assert spans(f"see {coded} there") == []
 
 
+def test_secret_more_structures():
+    b64 = lambda b: base64.b64encode(b).decode()
+    spans = lambda t: [(t[s:e], secrets.KINDS[k]) for s, e, k in secrets.confirmed_spans(t)]
+    num = lambda n: b"\x02\x81" + bytes([len(n)]) + n
+    body = b"\x02\x01\0" + b"".join(num(bytes([7] * n)) for n in (128, 20, 128, 128, 20))
+    dsa = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    armour = f"-----BEGIN DSA PRIVATE KEY-----\n{b64(dsa)}\n-----END DSA PRIVATE KEY-----"
+    assert spans(f"a {armour} b") == [(armour, "der_key")] and spans(b64(dsa)) == [(b64(dsa), "der_key")]
+    url = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    for header in ('{ "alg": "HS256"}', '{\n "alg": "HS256"}', ' {"alg":"HS256"}', '\r\n{"alg":"none"}'):
+        token = f"{url(header)}.{url('{ }')}.c2lnbmF0dXJl"
+        assert spans(f"x {token}, y") == [(token, "jwt")]
+    assert spans(f"x {url('{ }')}.{url('{ }')}.abcd www.Compressed-files.example.com y") == []
+    text = b"a longer text in lines of mail, the password: " + b"hunter2222 stands over a line's end, and more comes after it"
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + (90).to_bytes(4, "big") + b"p" * 90 + b"rest" * 9
+    for data, kind in ((dsa, "der_key"), (key_der(), "der_key"), (key_der()[:-1], None), (ssh, "openssh_key"), (text, "wrapped")):
+        for coded in (b64(data), data.hex(), data.hex().upper()):
+            for width in (64, 76):
+                for end in ("\n", "\r\n", "\\n", "\n  "):
+                    lines = end.join(re.findall(f".{{1,{width}}}", coded))
+                    for t in (f"key:{end}{lines}{end}", f"{lines}{end}Prose. And more", f"note{end}{lines}"):
+                        if kind:
+                            assert (lines, kind) in spans(t), (kind, width, end)
+                        else:
+                            assert spans(t) == []
+    # two keys one after the other, and many lines that hold none
+    two = "\n".join(re.findall(".{1,64}", b64(dsa)) + re.findall(".{1,64}", b64(key_der())))
+    assert [k for _, k in spans(two)] == ["der_key"] * 2
+    assert spans("\n".join(["M" * 64] * 20_000)) == []
+
+
 def test_secret_scan_rows(spark, odd, none):
     got = secrets.scan_secrets(odd.select("doc_id", "text"), redact="clean").collect()
     empty = hashlib.sha256(b"").hexdigest()
