@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import checkpoint
 
-WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 8, 2, 256, 6, 24  # CHUNK: places of a chunk; it spans WIDTH - 1 bytes more
+WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 8, 1, 256, 6, 24  # CHUNK: places of a chunk; it spans WIDTH - 1 bytes more
 
 
 @dataclass

@@ -452,6 +452,13 @@ def test_classifier_covers_whole_texts():
     assert np.allclose(classifier.scores(net, texts), one, atol=1e-6) and one[1] == one[2] and one[0] != one[4]
 
 
+def test_classifier_meets_patterns_at_odd_places():
+    net = classifier.new_network(4)
+    t = net.tables()
+    at = lambda k: classifier.responses(classifier.padded(b" " * k + b"pattern!" + b" " * (100 - k)), t)[0].max(axis=0)
+    assert np.allclose(at(40), at(41), atol=1e-5)
+
+
 def test_classifier_learns(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (4, 1, 0), (None, 1, None), (9, None, 0)], "doc_id long, quality int, toxic int")
     got = classifier.classify(odd, labels, epochs=1).collect()
