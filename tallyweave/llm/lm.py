@@ -1,48 +1,60 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network in numpy.
 
-Every word is predicted from the two words on either side. Words are ids: the most frequent words
-of the corpus, counted over all of it, and buckets of the rest by hash. The network has one table of
-hidden contributions for each place of the window, and a softmax in two steps, class and member, so a
-prediction costs a small part of the vocabulary. A word of a bucket has the bucket's probability in its
-context times the word's share of the bucket's counts; these counts are a distributed table of all words
-of the corpus, which texts meet by a join. A document's score is the sum of the conditional
+Every word is predicted from the two words on either side. The most frequent words of the corpus,
+counted over all of it, are leaves of a tree of three softmax steps; any other word is a leaf for its
+first byte, then spelled out byte by byte by a table of the corpus's unlisted words, so every word has a
+probability of its own and none is unknown. The network starts as the corpus's unigram table.
+
+What recurs is remembered beside the network: contexts (both words on either side, chosen by their
+hash, one in ``ONE_IN``) are counted over the whole corpus in a table that grows with it. Where such a
+context stands elsewhere too, the word's probability is the mean of these other places' words and of the
+network's, which counts as ``PRIOR`` places. A document's score is the sum of the conditional
 log-probabilities of its words.
 
-Training covers all documents. In each round the documents of that round are learned where they
-lie, each partition from the same weights; the partitions' weights, by number of words, are averaged
-in a tree of bounded groups.
+Training covers all documents. They are dealt by a hash of id and text into parts of a fixed number of
+words, however the table lies in files; in each round the parts learn from the same weights, and the
+weights, by number of words, are averaged in a tree of bounded groups.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, scratch_path
 
-CLASSES = MEMBERS = 32
-VOCABULARY = CLASSES * MEMBERS
-RARE = 32  # buckets of words outside the list
+BRANCH = 32  # choices of a softmax step
+NODES = (1, BRANCH, BRANCH**2)  # of each step
+VOCABULARY = BRANCH**3
+RARE = 32  # leaves of words outside the list, by first byte
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 EDGE = VOCABULARY  # what lies beyond a text's ends
-UNIT = 1 << 32  # log shares are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
-SHAPES = ((len(OFFSETS), VOCABULARY + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, MEMBERS), (CLASSES, MEMBERS))
+SHAPES = ((VOCABULARY + 1, HIDDEN), (len(OFFSETS), HIDDEN, HIDDEN), (HIDDEN,), *(s for n in NODES for s in ((n, HIDDEN, BRANCH), (n, BRANCH))))
+END, SPELLED = 256, 257  # a word's end, and the number of things that may come next in it
+BEFORE = 32 * 256  # what the spelling looks back at: the last byte, and the one before it modulo 32
+ONE_IN = 8
+PRIOR = 1.0
+UNIT = 1 << 32  # logarithms are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 
 
-def start_weights(seed: int = 5) -> list[np.ndarray]:
+def start_weights(counts: np.ndarray | None = None, seed: int = 5) -> list[np.ndarray]:
+    """Random inputs and outputs of no effect, so that the biases alone give the shares of ``counts`` by id."""
     rng = np.random.default_rng(seed)
-    return [(rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in SHAPES]
+    out = [rng.normal(0, 0.5, SHAPES[0]), rng.normal(0, HIDDEN**-0.5, SHAPES[1]), np.zeros(SHAPES[2])]
+    counts = (np.zeros(VOCABULARY) if counts is None else counts) + 0.5
+    for n in NODES:
+        out += [np.zeros((n, HIDDEN, BRANCH)), np.log(counts.reshape(n, BRANCH, -1).sum(axis=2))]
+    return [w.astype(np.float32) for w in out]
 
 
 def packed(weights: list[np.ndarray]) -> np.ndarray:
@@ -58,36 +70,113 @@ def unpacked(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-class WordIds:
-    """Ids of words: listed ones by rank, others by a hash among the last RARE ids."""
-
-    def __init__(self, words: list[str]):
-        self.known = {w: i for i, w in enumerate(words)}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        rare = np.flatnonzero(ids < 0)
-        ids[rare] = [VOCABULARY - RARE + zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % RARE for i in rare.tolist()]
-        return ids
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, where each word begins and the last ends) of strings without nulls."""
+    words = words.cast(pa.large_binary())
+    _, starts, data = words.buffers()
+    starts = np.frombuffer(starts, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data or b"", np.uint8), starts
+
+
+def spelling_steps(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each word; BEFORE and next thing, as one number, of all later steps; number of these by word)."""
+    data, starts = _bytes_of(words)
+    size = np.diff(starts)
+    flat = np.zeros(int(size.sum()) + 3 * len(size), np.int32)  # two zeros, then the bytes and the end, word by word
+    to = np.cumsum(size + 3) - (size + 3)
+    place = np.arange(int(size.sum())) + np.repeat(to + 2 - (starts[:-1] - starts[0]), size)
+    flat[place] = data[starts[0] : starts[-1]]
+    flat[to + size + 2] = END
+    later = np.ones(len(flat), bool)
+    later[to] = later[to + 1] = later[to + 2] = False
+    at = np.flatnonzero(later)
+    return flat[to + 2], ((flat[at - 2] & 31) * 256 + flat[at - 1]) * SPELLED + flat[at], size
+
+
+@dataclass
+class Words:
+    """The listed words, and the logarithms by which others are spelled."""
+
+    listed: pa.Array
+    first: np.ndarray  # of a first byte among those of its leaf
+    steps: np.ndarray  # of the next thing after what lies before
+
+    @classmethod
+    def of(cls, listed: list[str], cells: np.ndarray, sums: np.ndarray) -> Words:
+        """From counts of steps; cells from BEFORE * SPELLED on count first bytes."""
+        counts = np.zeros((BEFORE + 1) * SPELLED)
+        counts[cells] = sums
+        first = counts[BEFORE * SPELLED :][:256] + 0.5
+        by_leaf = np.bincount(np.arange(256) % RARE, weights=first)
+        steps = counts[: BEFORE * SPELLED].reshape(BEFORE, SPELLED)
+        whole = steps.sum(axis=0) + 0.5
+        back = 4 * whole / whole.sum()  # four steps' worth of the counts of any place
+        steps = (steps + back) / (steps.sum(axis=1, keepdims=True) + 4)
+        return cls(pa.array(listed, pa.large_string()), np.log(first / by_leaf[np.arange(256) % RARE]).astype(np.float32), np.log(steps).astype(np.float32).ravel())
+
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, log-probability of the word in its leaf) of distinct words."""
+        ids = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        spell, rare = np.zeros(len(ids), np.float32), np.flatnonzero(ids < 0)
+        if len(rare):
+            head, steps, size = spelling_steps(words.take(pa.array(rare)))
+            ids[rare] = VOCABULARY - RARE + head % RARE
+            spell[rare] = self.first[head] + np.add.reduceat(self.steps[steps], np.cumsum(size) - size)
+        return ids, spell
+
+
+def split_words(texts: pa.Array, chunk: int = 16 << 20) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(words of some texts, number by text), in order, about ``chunk`` bytes at a time. Words have no ASCII white space."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // chunk
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            split = pc.ascii_split_whitespace(texts[a:b])
+            bounds, words = split.offsets.to_numpy(), split.flatten()
+            bounds = bounds - bounds[0]
+            real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+            yield words.filter(pa.array(real)), np.diff(np.concatenate([[0], np.cumsum(real)])[bounds])
 
 
-def word_counts(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
-    """``(word, n)`` over all texts; a task emits what it holds whenever that is ``most`` words."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, n)`` over all texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
         for b in batches:
-            for t in b.column(0):
-                counts.update((t.as_py() or "").split())
-                if len(counts) >= most:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for words, _ in split_words(b.column(0)):
+                found = pc.value_counts(words)
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["word", "n"])
 
     return docs.select(text).mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def learn_words(counts: DataFrame) -> tuple[Words, np.ndarray]:
+    """The words of ``counts``, and the number of occurrences of each id."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
+    listed = [r["word"] for r in top]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = pa.array(listed, pa.string()), np.zeros((BEFORE + 1) * SPELLED, np.int64)
+        for b in batches:
+            rare = pa.array(pc.is_null(pc.index_in(b.column("word"), value_set=known)))
+            n = b.column("n").filter(rare).to_numpy(zero_copy_only=False)
+            head, steps, size = spelling_steps(b.column("word").filter(rare))
+            np.add.at(total, BEFORE * SPELLED + head, n)
+            np.add.at(total, steps, np.repeat(n, size))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    # at most (BEFORE + 1) * SPELLED cells, whatever the corpus
+    cells = counts.select("word", "n").mapInArrow(rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
+    by_id = np.zeros(VOCABULARY)
+    by_id[: len(listed)] = [r["n"] for r in top]
+    first = cell >= BEFORE * SPELLED
+    np.add.at(by_id, VOCABULARY - RARE + (cell[first] - BEFORE * SPELLED) % RARE, n[first])
+    return Words.of(listed, cell, n), by_id
+
+
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, their context ids) of texts laid end to end with edges between."""
     edge = np.full(2, EDGE, np.int64)
@@ -96,67 +185,67 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.stack([flat[at + o] for o in OFFSETS])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.clip(z, -60, 60, out=z)  # hidden values are within 1, so logits stay far below this
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
-
-
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which each class's words are together, and where each class begins."""
-    cls = (target // MEMBERS).astype(np.int16)
-    order = np.argsort(cls, kind="stable")
-    return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
-
-
-def _hidden(weights: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    h = weights[0][0].take(context[0], axis=0)
+def _hidden(weights: list[np.ndarray], context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    inputs = [weights[0].take(c, axis=0) for c in context]
+    h = inputs[0] @ weights[1][0]
     for k in range(1, len(OFFSETS)):
-        h += weights[0][k].take(context[k], axis=0)
-    h += weights[1]
-    return np.tanh(h, out=h)
+        h += inputs[k] @ weights[1][k]
+    h += weights[2]
+    return inputs, np.tanh(h, out=h)
+
+
+def _steps(weights: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each softmax step: (its number, nodes in use, where their words begin, choice of each word, probabilities). ``target`` is sorted."""
+    for k in range(len(NODES)):
+        node, choice = target // BRANCH ** (3 - k), target // BRANCH ** (2 - k) % BRANCH
+        begin = np.flatnonzero(np.diff(node, prepend=-1))
+        ends, used, w = np.append(begin[1:], len(node)), node[begin], weights[3 + 2 * k]
+        z = np.empty((len(h), BRANCH), h.dtype)
+        for n, a, b in zip(used.tolist(), begin.tolist(), ends.tolist()):
+            np.dot(h[a:b], w[n], out=z[a:b])
+        z += weights[4 + 2 * k][node]
+        np.clip(z, -60, 60, out=z)  # hidden values are within 1, so logits stay far below this
+        np.exp(z, out=z)
+        z /= (z @ np.ones(BRANCH, z.dtype))[:, None]
+        yield k, used, np.append(begin, len(node)), choice, z
 
 
 def log_probabilities(weights: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Log-probability of each word given both sides."""
-    order, edges = _by_class(target)
-    t, h = target[order], _hidden(weights, context[:, order])
-    p = _softmax(h @ weights[2] + weights[3])[np.arange(len(t)), t // MEMBERS]
-    for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            p[a:b] *= _softmax(h[a:b] @ weights[4][c] + weights[5][c])[np.arange(b - a), t[a:b] % MEMBERS]
-    out = np.empty(len(t), np.float64)
+    """Log-probability of each leaf given both sides."""
+    order = np.argsort(target.astype(np.uint16), kind="stable")
+    target, at = target[order], np.arange(len(target))
+    _, h = _hidden(weights, context[:, order])
+    p = np.ones(len(target), h.dtype)
+    for _, _, _, choice, z in _steps(weights, h, target):
+        p *= z[at, choice]
+    out = np.empty(len(target), np.float64)
     out[order] = np.log(np.maximum(p, 1e-30))
     return out
 
 
 def gradients(weights: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log-probability."""
-    order, edges = _by_class(target)
-    n, t, context = len(target), target[order], context[:, order]
-    h = _hidden(weights, context)
-    gz = _softmax(h @ weights[2] + weights[3])
-    gz[np.arange(n), t // MEMBERS] -= 1
-    gh = gz @ weights[2].T
-    out = [np.zeros_like(weights[0]), None, h.T @ gz, gz.sum(axis=0), np.zeros_like(weights[4]), np.zeros_like(weights[5])]
-    for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            g = _softmax(h[a:b] @ weights[4][c] + weights[5][c])
-            g[np.arange(b - a), t[a:b] % MEMBERS] -= 1
-            out[4][c], out[5][c] = h[a:b].T @ g, g.sum(axis=0)
-            gh[a:b] += g @ weights[4][c].T
+    order = np.argsort(target.astype(np.uint16), kind="stable")
+    n, target, context, at = len(target), target[order], context[:, order], np.arange(len(target))
+    inputs, h = _hidden(weights, context)
+    gh, out = np.zeros_like(h), [np.zeros_like(w) for w in weights]
+    for k, used, bounds, choice, z in _steps(weights, h, target):
+        z[at, choice] -= 1
+        w, gw = weights[3 + 2 * k], out[3 + 2 * k]
+        for i, a, b in zip(used.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            gw[i] = h[a:b].T @ z[a:b]
+            gh[a:b] += z[a:b] @ w[i].T
+        out[4 + 2 * k][used] = np.add.reduceat(z, bounds[:-1], axis=0)
     h *= h
     gh *= 1 - h
-    out[1] = gh.sum(axis=0)
+    out[2] = gh.sum(axis=0)
     for k in range(len(OFFSETS)):
-        ids = context[k].astype(np.int16)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
-        out[0][k][ids[first]] = np.add.reduceat(gh.take(order, axis=0), first, axis=0)
+        out[1][k] = inputs[k].T @ gh
+    gx = np.concatenate([gh @ weights[1][k].T for k in range(len(OFFSETS))])
+    ids = context.astype(np.uint16).ravel()
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
+    out[0][ids[order[first]]] = np.add.reduceat(gx.take(order, axis=0), first, axis=0)
     for g in out:
         g /= n
     return out
@@ -186,38 +275,74 @@ class Learner:
         self.held, self.n = [], 0
         for at in range(0, len(target), 2 * self.batch):
             self.step += 1
+            scale = self.rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
             for w, m, v, g in zip(self.weights, self.m, self.v, gradients(self.weights, target[at : at + 2 * self.batch], context[:, at : at + 2 * self.batch])):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= self.rate / (1 - 0.9**self.step) * m / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                v *= 0.99
+                v += 0.01 * g
+                np.sqrt(v, out=g)
+                g += 1e-8
+                np.divide(m, g, out=g)
+                g *= scale
+                w -= g
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     n = pdf["n"].to_numpy(np.float64)
     flat = np.zeros(sum(int(np.prod(s)) for s in SHAPES))
-    for k, w in zip(n, pdf["weights"]):
+    for k, w in sorted(zip(n, pdf["weights"])):
         flat += k * np.frombuffer(w, np.float32)
     return pd.DataFrame({"place": [int(pdf["place"].iloc[0])], "n": [int(n.sum())], "weights": [(flat / max(1.0, n.sum())).astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame, words: list[str], *, text: str = "text", rounds: int = 2, rate: float = 0.01, batch: int = 8192, fan_in: int = 16) -> list[np.ndarray]:
-    """Weights learned from every document once: round r takes those whose text's checksum is r modulo ``rounds``."""
-    flat = packed(start_weights())
-    schema = "place int, n long, weights binary"
+def dealt(docs: DataFrame, words: Words, id_: str, text: str, parts: int, rounds: int) -> DataFrame:
+    """``(round, part, key, ids)`` of all texts with words; both places are a hash's, so they do not depend on files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for found, n in split_words(b.column("t")):
+                coded = found.dictionary_encode()
+                flat = words.coded(coded.dictionary)[0].astype("<u2")[coded.indices.to_numpy(zero_copy_only=False)]
+                ends = np.concatenate([[0], np.cumsum(n)]) * 2
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+                some = pa.array(n > 0)
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, len(n)).filter(some), ids.filter(some)], names=["key", "ids"])
+                at += len(n)
+
+    keyed = docs.select(F.xxhash64(id_, text).alias("key"), F.col(text).alias("t")).mapInArrow(rows, "key long, ids binary")
+    return keyed.select(F.pmod("key", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright("key", 20), F.lit(parts)).cast("int").alias("part"), "key", "ids")
+
+
+def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_id", text: str = "text", rounds: int = 4, rate: float = 0.02, steps: int = 64, most: int = 16384, part_words: int = 1 << 20, fan_in: int = 8) -> list[np.ndarray]:  # noqa: A002
+    """Weights learned from every document once, in ``rounds`` of about ``part_words`` words and ``steps`` steps a part; a step has 1024 words at least and ``most`` at most."""
+    flat, schema = packed(start_weights(counts)), "place int, n long, weights binary"
+    parts = max(1, round(float(counts.sum()) / rounds / part_words))
+    batch = int(np.clip(counts.sum() / rounds / parts / steps, 1024, most))
+    path = scratch_path(docs.sparkSession, "lm-ids")
+    dealt(docs, words, id, text, parts, rounds).write.partitionBy("round").parquet(path)
+    every = docs.sparkSession.read.schema("part int, key long, ids binary, round int").parquet(path)
     for r in range(rounds):
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            learner, ids = Learner(unpacked(start), rate, batch), WordIds(words)
+            learner, now = None, -1
+            out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([learner.words], pa.int64()), pa.array([packed(learner.weights).tobytes()], pa.binary())], names=["place", "n", "weights"])
             for b in batches:
-                for t in b.column(0):
-                    learner.add(ids.of((t.as_py() or "").split()))
-            learner.learn()
-            arrays = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([learner.words], pa.int64()), pa.array([packed(learner.weights).tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["place", "n", "weights"])
-
-        part = docs.select(F.coalesce(text, F.lit("")).alias("t")).where(F.crc32("t") % rounds == r)
-        places = max(1, part.rdd.getNumPartitions())
-        level = checkpoint(part.mapInArrow(learn, schema).where("n > 0"))
+                for part, ids in zip(b.column("part").to_pylist(), b.column("ids")):
+                    if part != now:
+                        if learner:
+                            learner.learn()
+                            yield out()
+                        learner, now = Learner(unpacked(start), rate, batch), part
+                    learner.add(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64))
+            if learner:
+                learner.learn()
+                yield out()
+
+        part = every.where(F.col("round") == r).select("part", "key", "ids").repartition(parts, "part").sortWithinPartitions("part", "key", "ids")
+        level, places = checkpoint(part.mapInArrow(learn, schema)), parts
         while places > 1:  # averages of fan_in, then of those
             places = -(-places // fan_in)
             level = level.withColumn("place", F.floor(F.col("place") / fan_in).cast("int")).groupBy("place").applyInPandas(_average, schema)
@@ -227,66 +352,89 @@ def train(docs: DataFrame, words: list[str], *, text: str = "text", rounds: int
     return unpacked(flat)
 
 
-def score_text(weights: list[np.ndarray], ids: np.ndarray, block: int = 1 << 16) -> float:
-    """Sum of conditional log-probabilities of a text's words, a bounded number at a time."""
-    if not len(ids):
-        return 0.0
-    target, context = windows([ids])
-    return sum(float(log_probabilities(weights, target[a : a + block], context[:, a : a + block]).sum(dtype=np.float64)) for a in range(0, len(ids), block))
+def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1 << 16) -> np.ndarray:
+    """Conditional log-probabilities of the leaves of all words of some texts, a bounded number at a time."""
+    if not sum(map(len, ids)):
+        return np.zeros(0)
+    target, context = windows(ids)
+    return np.concatenate([log_probabilities(weights, target[a : a + block], context[:, a : a + block]) for a in range(0, len(target), block)])
+
+
+def context_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hash of both words on either side of each word, of texts of ``counts`` words end to end; ends differ from words."""
+    n = len(hashes)
+    laid = np.full(n + 2 * (len(counts) + 1), 0x9E3779B97F4A7C15, np.uint64)
+    at = np.arange(n) + 2 * (1 + np.repeat(np.arange(len(counts)), counts))
+    laid[at] = hashes
+    out = np.zeros(n, np.uint64)
+    for o in OFFSETS:
+        out = (out ^ laid[at + o]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def log_shares(counts: DataFrame, words: list[str]) -> DataFrame:
-    """``(word, share)`` of all words but the listed: log of the word's share of its bucket, in 1 / UNIT."""
-    rare = counts.where(~F.col("word").isin(words)).withColumn("bucket", (F.crc32("word") % RARE).cast("int"))
-    sums = {r["bucket"]: r["n"] for r in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # RARE rows at most
-    total = F.array(*[F.lit(float(sums.get(b, 1))) for b in range(RARE)])
-    return rare.select("word", F.round(F.log(F.col("n") / total[F.col("bucket")]) * UNIT).cast("long").alias("share"))
+def _scores(docs: DataFrame, words: Words, weights: list[np.ndarray], id_: str, text: str) -> DataFrame:
+    """``(doc_id, n_words, total, contexts, targets, logs)``: sums in UNITs, and of remembered places the hashes and logs."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), *T._parse_datatype_string("n_words long, total long, contexts array<long>, targets array<long>, logs array<float>").fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = 0
+            for found, n in split_words(b.column("_text")):
+                coded = found.dictionary_encode()
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                ids, spell = words.coded(coded.dictionary)
+                data, starts = _bytes_of(coded.dictionary)
+                data = data.tobytes()
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())), np.uint64, len(ids))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                p = score_texts(weights, np.split(ids[at], ends[1:-1])) + spell[at]
+                sums = np.concatenate([[0], np.cumsum(np.round(p * UNIT).astype(np.int64))])
+                context = context_hashes(hashes[at], n)
+                some = np.flatnonzero(context % np.uint64(ONE_IN) == 0)
+                lists = pa.array(np.searchsorted(some, ends).astype(np.int32))
+                arrays = [b.column("doc_id").slice(row, len(n)), pa.array(n), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
+                arrays += [pa.ListArray.from_arrays(lists, pa.array(v)) for v in (context[some].view(np.int64), hashes[at[some]].view(np.int64), p[some].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                row += len(n)
+
+    return docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(rows, schema)
+
+
+def remembered(scored: DataFrame) -> DataFrame:
+    """``(row, gain)``: what the other places of recurring contexts add to a row's sum, in UNITs.
+
+    A context's places are counted by partial sums before the exchange, and places that do not recur
+    are left behind by a join, which adaptive execution splits where a context is very common.
+    """
+    spark = scored.sparkSession
+    each = scored.select("row", F.explode(F.arrays_zip("contexts", "targets", "logs")).alias("m")).select("row", F.col("m.contexts").alias("context"), F.col("m.targets").alias("target"), F.col("m.logs").alias("log"))
+    places = F.count(F.lit(1))
+    again = checkpoint(each.groupBy("context").agg(places.alias("n"), F.min("target").alias("least"), F.max("target").alias("most")).where("n > 1"))
+    path = scratch_path(spark, "lm-recurring")
+    each.join(again, "context").write.parquet(path)
+    hits = spark.read.parquet(path)
+    mixed = hits.where("least <> most").groupBy("context", "target").agg(places.alias("same"))  # others have one word in all places
+    found = hits.join(mixed, ["context", "target"], "left").withColumn("same", F.coalesce("same", "n"))
+    p = (F.col("same") - 1 + PRIOR * F.exp(F.col("log").cast("double"))) / (F.col("n") - 1 + PRIOR)
+    return found.groupBy("row").agg(F.sum(F.round((F.log(p) - F.col("log")) * UNIT).cast("long")).alias("gain"))
 
 
 def pseudo_likelihood(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:  # noqa: A002
     """``(doc_id, n_words, log_likelihood, mean_log_likelihood)`` for each row of ``docs``.
 
-    Counts, training and scores cover every document's whole text. Texts without words (null,
-    empty, blank) have 0 words, sum 0.0 and a null mean; repeated rows are scored each; an empty table
-    gives an empty result; other columns are not read.
+    Counts, training and scores cover every document's whole text. Words are runs without ASCII white
+    space. Texts without words (null, empty, blank) have 0 words, sum 0.0 and a null mean; repeated rows
+    are scored each, and recur; a null id is carried as null; an empty table gives an empty result; other
+    columns are not read. How ``docs`` lies in partitions only matters to single-precision rounding.
     """
-    counts = checkpoint(word_counts(docs, text))
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()]
-    weights = train(docs, words, text=text, **how)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id].dataType), *T._parse_datatype_string("n_words long, total double, rare string").fields])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(words)
-        for b in batches:
-            ids, rare = [], []
-            for t in b.column("_text"):
-                split = (t.as_py() or "").split()
-                ids.append(known.of(split))
-                rare.append(" ".join([split[i] for i in np.flatnonzero(ids[-1] >= VOCABULARY - RARE).tolist()]))
-            n, total = np.array([len(x) for x in ids], np.int64), np.zeros(len(ids))
-            at = 0
-            while at < len(ids):  # short texts together, about 64k words at a time; a long one by itself
-                to, held = at + 1, len(ids[at])
-                while to < len(ids) and held + len(ids[to]) <= 1 << 16:
-                    held += len(ids[to])
-                    to += 1
-                if to == at + 1:
-                    total[at] = score_text(weights, ids[at])
-                elif held:
-                    p = log_probabilities(weights, *windows(ids[at:to])).astype(np.float64)
-                    ends = np.cumsum(n[at:to])
-                    sums = np.concatenate([[0.0], np.cumsum(p)])
-                    total[at:to] = sums[ends] - sums[ends - n[at:to]]
-                at = to
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(rare, pa.string())], names=[f.name for f in schema.fields])
-
-    path = scratch_path(docs.sparkSession, "lm-scores")  # written once, so that a row keeps its number
-    scored = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(rows, schema)
-    scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    scored = docs.sparkSession.read.parquet(path)
-    each = scored.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
-    shares = each.join(log_shares(counts, words), "word").groupBy("row").agg(F.sum("share").alias("share"))
-    whole = F.col("total") + F.coalesce(F.col("share"), F.lit(0)) / UNIT
-    return scored.select("row", "doc_id", "n_words", "total").join(shares, "row", "left").select(
+    spark = docs.sparkSession
+    words, by_id = learn_words(checkpoint(word_counts(docs, text)))
+    weights = train(docs, words, by_id, id=id, text=text, **how)
+    path = scratch_path(spark, "lm-scores")  # written once, so that a row keeps its number
+    _scores(docs, words, weights, id, text).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    scored = spark.read.parquet(path)
+    whole = (F.col("total") + F.coalesce(F.col("gain"), F.lit(0))) / UNIT
+    return scored.select("row", "doc_id", "n_words", "total").join(remembered(scored), "row", "left").select(
         "doc_id", "n_words", whole.alias("log_likelihood"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log_likelihood")
     )
