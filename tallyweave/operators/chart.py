@@ -7,6 +7,7 @@ from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_ITEMS = 250
 
@@ -44,27 +45,44 @@ def number(text: Column) -> Column:
     return F.when(t == "", F.lit(0.0)).otherwise(F.nullif(t.try_cast("double"), F.lit(float("nan"))))
 
 
+def chart_date(text: Column) -> Column:
+    """``Y[-M[-D]]``, month and day 1 by default and carried over if too large; null without a year or where a part is no number."""
+    part = lambda i: F.get(F.split(text, "-"), F.lit(i))
+    number_of = lambda i, missing: F.when(part(i).isNull(), missing).otherwise(F.when(part(i) == "", 0).otherwise(part(i).try_cast("int")))
+    year = F.when(part(0) != "", part(0).try_cast("int"))
+    january = F.try_make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return F.date_add(F.add_months(january, number_of(1, F.lit(1)) - 1), number_of(2, F.lit(1)) - 1)
+
+
 def points(df: DataFrame, info: ChartInfo, label: str = "A", row_filter: str | None = None, transform: Column | None = None) -> DataFrame:
-    """``(x, key, y)`` points of a result. Rows whose y is no number are dropped, as are points that ``transform`` makes null.
+    """``(x, key, y)`` points of a result.
 
-    ``row_filter`` is an SQL condition on the columns; ``transform`` a struct column of x, key, y over the points.
+    Rows of one column, rows whose y is no number, and rows whose date has no year or is none are dropped, as
+    are points that ``transform`` makes null. An absent x or y is 0, an absent key column the label, a missing
+    key ``-``. ``row_filter`` is an SQL condition on the columns; ``transform`` a struct column of x, key, y over the points.
     """
     if row_filter:
         df = df.where(row_filter)
     names = df.columns
-    col = lambda i: F.col(f"`{names[i]}`") if 0 <= i < len(names) else None
+    if max(info.x, info.y, info.key) >= len(names):
+        raise ValueError("x, y and key must be columns")
+    if len(names) < 2:
+        df = df.limit(0)
+    col = lambda i: F.col(f"`{names[i]}`") if i >= 0 else None
     x = col(info.x)
-    if x is None or col(info.y) is None:
-        raise ValueError("x and y must be columns")
-    if info.x_type == "int":
+    if x is None:
+        x = F.lit(0).cast("long")
+    elif info.x_type == "int":
         x = number(x).cast("long")
     elif info.x_type == "date":
-        t = x.cast("string")
-        x = F.to_date(F.coalesce(t.try_cast("date"), F.concat(t, F.lit("-01")).try_cast("date"), F.concat(t, F.lit("-01-01")).try_cast("date")))
+        x = chart_date(x) if isinstance(df.schema[info.x].dataType, T.StringType) else F.to_date(x)
     else:
         x = x.cast("string")
-    key = F.lit(f"({label})") if col(info.key) is None else F.coalesce(F.nullif(col(info.key).cast("string"), F.lit("")), F.lit("-"))
-    out = df.select(x.alias("x"), key.alias("key"), number(col(info.y)).alias("y")).where("y is not null")
+    key = F.lit(f"({label})") if info.key < 0 else F.coalesce(col(info.key).cast("string"), F.lit("-"))
+    y = F.lit(0.0) if info.y < 0 else number(col(info.y))
+    out = df.select(x.alias("x"), key.alias("key"), y.alias("y")).where("y is not null")
+    if info.x >= 0 and info.x_type == "date":
+        out = out.where("x is not null")
     if transform is not None:
         out = out.select(transform.alias("p")).where("p is not null").select("p.*")
     return out
@@ -83,12 +101,13 @@ def collapse(pts: DataFrame) -> DataFrame:
     return pts.groupBy("x", "key").agg(F.sum("y").alias("y"))
 
 
-def zero_fill(pts: DataFrame) -> DataFrame:
+def zero_fill(pts: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """A point for every x of every key; missing ones are 0.
 
     The result is by definition every distinct x with every distinct key, and only these lists are
-    paired, never rows; a chart's lists are short (``check_size``).
+    paired, never rows; more than ``most`` x raise, as in ``check_size``.
     """
+    check_size(pts, most)
     xs = pts.select("x").distinct()
     keys = pts.select("key").distinct()
     return xs.crossJoin(keys).join(pts, ["x", "key"], "left").select("x", "key", F.coalesce("y", F.lit(0.0)).alias("y"))

@@ -1,9 +1,8 @@
 """The cube: five exact indicators for every combination of criteria and wildcards.
 
-Records are first grouped by all criteria and both keys, so repeats are expanded once. Then two
-branches: by content (count, sizes, distinct contents) and by URL. Each distinct key is removed by a
-grouped aggregate that partial aggregation shrinks before the exchange; no distinct expansion is
-stacked on the cube's own.
+Every record gives two rows, one for its content (with its number and sizes) and one for its URL. Equal
+rows are grouped before they are expanded to the cube's cells, once for both; a grouped aggregate then
+removes each distinct key from its cells, and partial aggregation shrinks every exchange.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ANY, CRITERIA, INDICATORS
+from ..schema import ANY, CRITERIA
 
 #: Free criteria of each mode; others but status keep their values or are wildcards throughout.
 MODES = ("normal", "explicit_month", "wildcard_month")
@@ -29,13 +28,13 @@ def grouping_sets(mode: str) -> list[tuple[str, ...]]:
     return [("month", *s) for s in sets] if mode == "explicit_month" else sets
 
 
-def _cells(df: DataFrame, keep: list[tuple[str, ...]], key: str, *sums) -> DataFrame:
-    """``df`` aggregated by cell and ``key``; a wildcard is told by grouping(), never by a null."""
-    sets = [[F.col(c) for c in ("status", *s, key)] for s in keep]
-    columns = [F.col(c) for c in (*CRITERIA, key)]
+def _cells(df: DataFrame, keep: list[tuple[str, ...]], keys: list[str], *sums) -> DataFrame:
+    """``df`` aggregated by cell and ``keys``; a wildcard is told by grouping(), never by a null."""
+    sets = [[F.col(c) for c in ("status", *s, *keys)] for s in keep]
+    columns = [F.col(c) for c in (*CRITERIA, *keys)]
     marked = df.groupingSets(sets, *columns).agg(*sums, *[F.grouping(c).alias(f"_any_{c}") for c in FREE])
     names = [F.when(F.col(f"_any_{c}") == 1, ANY).otherwise(F.col(c)).alias(c) for c in FREE]
-    return marked.select("status", *names, key, *[c for c in marked.columns if c not in (*CRITERIA, key) and not c.startswith("_any_")])
+    return marked.select("status", *names, *[c for c in marked.columns if c not in CRITERIA and not c.startswith("_any_")])
 
 
 def cube(normal: DataFrame, mode: str = "normal", only: list[tuple[str, ...]] | None = None) -> DataFrame:
@@ -46,17 +45,17 @@ def cube(normal: DataFrame, mode: str = "normal", only: list[tuple[str, ...]] |
     groupings to compute, by their explicit criteria, where not all cells are wanted.
     """
     keep = grouping_sets(mode) if only is None else [tuple(c for c in FREE if c in s) for s in only]
-    rows = normal.groupBy(*CRITERIA, "url_md5", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("ms"), F.max("length").alias("rs"))
-    by_sha = _cells(rows, keep, "sha", F.sum("n").alias("n"), F.sum("ms").alias("ms"), F.max("rs").alias("rs"))
-    contents = by_sha.groupBy(*CRITERIA).agg(
-        F.sum("n").alias("meta_count"), F.lit(0).cast("long").alias("url_count"), F.count("sha").alias("sha_count"), F.sum("ms").alias("meta_size"), F.sum("rs").alias("real_size")
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    content = F.struct(F.lit(False).alias("is_url"), F.col("sha").alias("key"), one.alias("n"), F.col("length").alias("ms"), F.col("length").alias("rs"))
+    url = F.struct(F.lit(True).alias("is_url"), F.col("url_md5").alias("key"), none.alias("n"), none.alias("ms"), none.alias("rs"))
+    sums = [F.sum("n").alias("n"), F.sum("ms").alias("ms"), F.max("rs").alias("rs")]
+    both = normal.select(*CRITERIA, F.explode(F.array(content, url)).alias("r")).select(*CRITERIA, "r.*")
+    rows = both.groupBy(*CRITERIA, "is_url", "key").agg(*sums)
+    distinct = _cells(rows, keep, ["is_url", "key"], *sums)
+    counted = lambda is_url: F.count(F.when(F.col("is_url") == is_url, F.col("key")))
+    return distinct.groupBy(*CRITERIA).agg(
+        F.sum("n").alias("meta_count"), counted(True).alias("url_count"), counted(False).alias("sha_count"), F.sum("ms").alias("meta_size"), F.sum("rs").alias("real_size")
     )
-    zero = F.lit(0).cast("long")
-    urls = _cells(rows.select(*CRITERIA, "url_md5"), keep, "url_md5", F.count(F.lit(1)).alias("n")).groupBy(*CRITERIA).agg(
-        zero.alias("meta_count"), F.count("url_md5").alias("url_count"), zero.alias("sha_count"), zero.alias("meta_size"), zero.alias("real_size")
-    )
-    # cells of both branches meet by an aggregate, which is null-safe, not by a join
-    return contents.unionByName(urls).groupBy(*CRITERIA).agg(*[F.sum(i).alias(i) for i in INDICATORS])
 
 
 def roll_up(facets: DataFrame, *keep: str) -> DataFrame:

@@ -12,9 +12,13 @@ REASON = "reject_reason"
 
 
 def from_container(df: DataFrame, column: str = "content", stringify: bool = True) -> DataFrame:
-    """Record columns from a map column; ``stringify`` makes missing keys the text ``null``."""
+    """Record columns from a map column; ``stringify`` makes missing keys the text ``null``.
+
+    A null map is no record and is skipped. A map with the key ``parse_error`` has a ``_corrupt_record``.
+    """
     get = lambda k: F.try_element_at(F.col(column), F.lit(k))
-    return df.select(*[(F.coalesce(get(k), F.lit(MISSING)) if stringify else get(k)).alias(k) for k in RECORD_KEYS])
+    broken = F.when(F.map_contains_key(column, "parse_error"), F.coalesce(get("parse_error"), F.lit("")))
+    return df.where(F.col(column).isNotNull()).select(*[(F.coalesce(get(k), F.lit(MISSING)) if stringify else get(k)).alias(k) for k in RECORD_KEYS], broken.alias("_corrupt_record"))
 
 
 def record_length() -> Column:

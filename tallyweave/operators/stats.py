@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: range numbers stay the same wherever they are read again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
-    return df.checkpoint()
+from ..scratch import checkpoint
 
 
 def box_plot(df: DataFrame, key: str | None, value: str, parts: int = 4) -> DataFrame:
@@ -26,7 +19,7 @@ def box_plot(df: DataFrame, key: str | None, value: str, parts: int = 4) -> Data
     """
     rows = df.select((F.col(key) if key else F.lit("")).alias("key"), F.col(value).try_cast("double").alias("v")).where("v is not null and not isnan(v)")
     counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranged = _settled(counted.repartitionByRange("key", "v").withColumn("_part", F.spark_partition_id()))
+    ranged = checkpoint(counted.repartitionByRange("key", "v").withColumn("_part", F.spark_partition_id()))
     of_key = Window.partitionBy("key")
     ranges = ranged.groupBy("_part", "key").agg(F.sum("n").alias("m"))
     earlier = F.sum("m").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -41,6 +34,11 @@ def box_plot(df: DataFrame, key: str | None, value: str, parts: int = 4) -> Data
     return placed.select("key", F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts)), is_here)).alias("i"), "v")
 
 
+def in_key_order(plot: DataFrame) -> DataFrame:
+    """A box plot's rows by key, the null key first, then by place."""
+    return plot.orderBy(F.col("key").asc_nulls_first(), "i")
+
+
 def count_by_key(df: DataFrame, key: Column) -> DataFrame:
     """``(key, n)``; null keys are not counted."""
     return df.select(key.alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -72,7 +70,7 @@ def runs(df: DataFrame, order: list[str], keys: list[str], within: list[str] | N
         return marked.withColumn("run", F.sum("_new").over(w)).groupBy(*within, "run", *keys).agg(F.count(F.lit(1)).alias("n"))
     # ranges of the order, one per partition; each knows its key at both ends and how many runs it begins
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    ranged = _settled(ranged.select("_part", *order, *keys))
+    ranged = checkpoint(ranged.select("_part", *order, *keys))
     local = Window.partitionBy("_part").orderBy(*order)
     same = F.struct(*keys).eqNullSafe(F.lag(F.struct(*keys)).over(local))
     marked = ranged.withColumn("_first", F.row_number().over(local) == 1).withColumn("_new", F.when(F.col("_first"), 1).otherwise((~same).cast("int")))

@@ -6,12 +6,13 @@ import json
 import os
 import re
 import threading
+import time
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
 
 from ..operators.chart import ChartInfo
-from ..sources.tables import csv_lines
+from ..sources.tables import fetched
 
 
 def slug(name: str) -> str:
@@ -109,8 +110,8 @@ class ScriptStore:
 class JobRunner:
     """Runs scripts on threads of their own, one at a time; of waiting ones the last asked runs first."""
 
-    def __init__(self, spark: SparkSession, store: ScriptStore):
-        self.spark, self.store = spark, store
+    def __init__(self, spark: SparkSession, store: ScriptStore, most_lines: int = 1_000_000):
+        self.spark, self.store, self.most_lines = spark, store, most_lines
         self._waiting: list[tuple[int, Script]] = []
         self._running: threading.Thread | None = None
         self._lock = threading.Lock()
@@ -150,7 +151,7 @@ class JobRunner:
             for n, statement in enumerate(statements):
                 df = self.spark.sql(statement)
                 if df.columns:
-                    result.lines += [r["line"] for r in csv_lines(df).toLocalIterator()]
+                    result.lines += fetched(df, self.most_lines - len(result.lines))
                 self.progress[id_] = 100 * (n + 1) // len(statements)
         except Exception as e:
             result.lines, result.failure = None, str(e)
@@ -161,6 +162,9 @@ class JobRunner:
             self._running = None
             self._next()
 
-    def wait(self, timeout: float = 60) -> None:
-        while (t := self._running) is not None:
-            t.join(timeout)
+    def wait(self, timeout: float = 60) -> bool:
+        """Until nothing runs or ``timeout`` seconds have passed; whether nothing runs."""
+        end = time.monotonic() + timeout
+        while (t := self._running) is not None and (left := end - time.monotonic()) > 0:
+            t.join(left)
+        return self._running is None

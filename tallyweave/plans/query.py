@@ -16,11 +16,13 @@ def point_cells(facets: DataFrame, filters=()) -> DataFrame:
 
 
 def get_stats(facets: DataFrame, filters=()) -> dict[str, int]:
-    """Indicators of one cell, the first by key if filters match several; ``LookupError`` if none does."""
-    row = point_cells(facets, filters).orderBy(*CRITERIA).select(*INDICATORS).first()
-    if row is None:
+    """Indicators of one cell; ``LookupError`` if no cell matches the filters, ``ValueError`` if several do."""
+    rows = point_cells(facets, filters).select(*INDICATORS).head(2)
+    if not rows:
         raise LookupError("no data in table")
-    return row.asDict()
+    if len(rows) > 1:
+        raise ValueError("several cells match: their distinct counts do not add up")
+    return rows[0].asDict()
 
 
 @dataclass(frozen=True)

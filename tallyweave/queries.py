@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from .operators import chart, cube as cubes, normalize, stats
 from .operators.filters import Filter, FilterGroup, measure_predicate, series_predicate
 from .plans.query import ChartQuery, compare_years as compare, point_cells
 from .schema import CRITERIA, INDICATORS, RECORD
+from .scratch import scratch_path
 from .sources import tables
 
 QUERIES: dict = {}
@@ -279,8 +279,7 @@ def csv_lines(spark, sf_dir):
 
 @query(f"with {_m()} {_cube_sql([('month',), ('site', 'content')])}")
 def text_roundtrip(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-    path = f"{shared.rstrip('/')}/facet-text-{abs(hash(sf_dir))}"
+    path = scratch_path(spark, "facet-text")
     tables.write_facet_text(facets(spark, sf_dir, ("month",), ("site", "content")), path)
     return tables.read_facet_text(spark, path)
 
@@ -313,11 +312,10 @@ def join_anti(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select count(*) as n, count(s_suppkey) as suppliers, count(c_custkey) as customers from (select s_suppkey, s_nationkey from supplier where s_acctbal > 5000) full join (select c_custkey, c_nationkey from customer where c_acctbal > 9000) on s_nationkey = c_nationkey")
+@query("select count(*) as n, count(c_custkey) as customers, count(o_orderkey) as orders, count(distinct coalesce(c_custkey, o_custkey)) as k from customer full join orders on c_custkey = o_custkey")
 def join_full(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_suppkey", "s_nationkey")
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey", "c_nationkey")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").agg(F.count(F.lit(1)).alias("n"), F.count("s_suppkey").alias("suppliers"), F.count("c_custkey").alias("customers"))
+    j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "full")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.count_distinct(F.coalesce("c_custkey", "o_custkey")).alias("k"))
 
 
 @query("select r_name, n_name from region cross join nation where r_regionkey > n_regionkey")
@@ -337,14 +335,14 @@ def set_union(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("select c_nationkey as k from customer where c_acctbal > 9500 intersect select s_nationkey from supplier where s_acctbal > 5000")
+@query("select c_custkey as k from customer intersect select o_custkey from orders")
 def set_intersect(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 5000")
+@query("select o_orderkey as k from orders except select l_orderkey from lineitem")
 def set_except(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").select("l_orderkey"))
 
 
 @query("select o_custkey, o_orderkey, r from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r <= 2")

@@ -14,7 +14,7 @@ from .tables import read_facet_text
 class FacetStore:
     """Tables ``facets_<year>p`` in a database. Rows lie by status and month, so point questions skip row groups."""
 
-    def __init__(self, spark: SparkSession, database: str = "facet_redux"):
+    def __init__(self, spark: SparkSession, database: str = "tallyweave_facets"):
         if not re.fullmatch(r"\w+", database):
             raise ValueError(f"database {database!r}")
         self.spark, self.database = spark, database

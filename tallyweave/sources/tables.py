@@ -17,17 +17,24 @@ def read_containers(spark: SparkSession, paths: str | list[str], fmt: str = "par
     return from_container(reader.format(fmt).load(names))
 
 
-def read_json_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records from JSON lines. Typed streams carry ``record_type``; only metadata records are kept, broken lines have ``_corrupt_record``."""
-    schema = T.StructType([*RECORD.fields, T.StructField("record_type", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
+def _typed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    schema = T.StructType([*RECORD.fields, *(T.StructField(c, T.StringType()) for c in ("record_class", "record_type", "_corrupt_record"))])
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    return raw.where("record_type is null or record_type = 'metadata_json'").drop("record_type")
+    wrong = F.when(F.col("record_class") != "Record", "wrong_record_class").when(F.col("record_type") != "metadata_json", "wrong_content_class")
+    return raw.withColumn("wrong", wrong).drop("record_class", "record_type")
+
+
+def read_json_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records from JSON lines, broken lines with ``_corrupt_record``.
+
+    Typed streams carry ``record_class`` and ``record_type``; only metadata of the class ``Record`` is kept.
+    """
+    return _typed(spark, paths).where("wrong is null").drop("wrong")
 
 
 def wrong_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Counts of records of a stream that are no metadata."""
-    raw = spark.read.schema("record_type string").json(paths)
-    return raw.where("record_type <> 'metadata_json'").groupBy(F.lit("wrong_content_class").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of lines of a stream that are left out: no records, or no metadata."""
+    return _typed(spark, paths).where("wrong is not null").groupBy(F.col("wrong").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def write_facet_text(facets: DataFrame, path: str) -> None:
@@ -59,6 +66,42 @@ def read_split_lines(spark: SparkSession, path: str, separator: str = ",", field
     return rows.where(F.size("fields") >= fields) if fields else rows
 
 
+def read_chart_csv(spark: SparkSession, *paths: str) -> list[DataFrame]:
+    """Rows of one or two CSV sources of a chart, as texts, in the order in which their series are keyed: the last source first."""
+    if not 1 <= len(paths) <= 2:
+        raise ValueError("one or two sources")
+    return [spark.read.option("header", False).option("inferSchema", False).csv(p) for p in reversed(paths)]
+
+
+#: Loaders of scripts by name, and the formats they read and write.
+LOADERS = {"PigStorage": "csv", "JsonLoader": "json", "JsonStorage": "json", "TextLoader": "text", "BinStorage": "parquet"}
+
+
+def load(spark: SparkSession, path: str, loader: str = "PigStorage", schema: T.StructType | str | None = None, separator: str = "\t") -> DataFrame:
+    """``LOAD path USING loader AS schema``."""
+    if loader not in LOADERS:
+        raise ValueError(f"loader {loader!r}; one of {sorted(LOADERS)}")
+    reader = spark.read.schema(schema) if schema and loader != "TextLoader" else spark.read
+    return reader.format(LOADERS[loader]).options(**({"sep": separator} if loader == "PigStorage" else {})).load(path)
+
+
+def store(df: DataFrame, path: str, loader: str = "PigStorage", separator: str = "\t") -> None:
+    """``STORE df INTO path USING loader``; an existing path raises."""
+    if loader not in LOADERS:
+        raise ValueError(f"loader {loader!r}; one of {sorted(LOADERS)}")
+    df.write.format(LOADERS[loader]).options(**({"sep": separator} if loader == "PigStorage" else {})).save(path)
+
+
+def fetched(df: DataFrame, most: int) -> list[str]:
+    """A result's lines on the driver, a partition at a time; more than ``most`` raise before they are held."""
+    out = []
+    for r in csv_lines(df).toLocalIterator():
+        if len(out) == most:
+            raise ValueError(f"more than {most} lines")
+        out.append(r["line"])
+    return out
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """``line``: values joined by commas, unquoted; nulls print ``null``."""
     return df.select(F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in df.columns]).alias("line"))

@@ -88,7 +88,7 @@ def test_charts(spark):
     assert info.sort == "" and chart.ChartInfo.parse({"key": "q"}).key == -1
     df = spark.createDataFrame([("a", "k", "1"), ("a", "k", "2"), ("b", "", ""), ("c", "k", "zz"), ("c", "m", "4")], "x string, k string, y string")
     pts = chart.collapse(chart.points(df, info))
-    assert {(r.x, r.key): r.y for r in pts.collect()} == {("a", "k"): 3.0, ("b", "-"): 0.0, ("c", "m"): 4.0}
+    assert {(r.x, r.key): r.y for r in pts.collect()} == {("a", "k"): 3.0, ("b", ""): 0.0, ("c", "m"): 4.0}
     assert chart.zero_fill(pts).count() == 9
     assert chart.collapse(pts.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -124,12 +124,66 @@ def test_text_files_and_sql(spark, tmp_path):
     assert sql.csv("select * from TABLE order by a") == "1,null\n2,x" and sql.csv("select nope").startswith("failure:")
 
 
+def test_placeholder_leaves_literals_and_keywords_alone():
+    from tallyweave.plans.sqltext import with_table
+
+    for sql, want in {
+        "select 'a TABLE b', \"TABLE\", `TABLE` from TABLE -- TABLE": "select 'a TABLE b', \"TABLE\", `TABLE` from t -- TABLE",
+        "select 'it''s TABLE' from TABLE, (select * from TABLE)": "select 'it''s TABLE' from t, (select * from t)",
+        "REFRESH TABLE x": "REFRESH TABLE x", "show create TABLE x": "show create TABLE x", "ANALYZE TABLE x compute statistics": "ANALYZE TABLE x compute statistics",
+        "create TABLE y as select * from TABLE": "create TABLE y as select * from t", "insert into TABLE y select 1": "insert into TABLE y select 1", "insert into TABLE select 1": "insert into t select 1",
+        "select TABLES, TABLE.a from TABLE /* TABLE */": "select TABLES, t.a from t /* TABLE */",
+    }.items():
+        assert with_table(sql, "t") == want
+
+
+def test_cells_and_bounds(spark):
+    facets = cube.cube(normalize.normalize(spark.createDataFrame(RAW, RECORD), 2013))
+    with pytest.raises(ValueError):
+        get_stats(facets, [Filter("site", "in", ("tf1.fr", "france2.fr"))])
+    with pytest.raises(LookupError):
+        get_stats(facets, [Filter("site", "equal", "nowhere")])
+    with pytest.raises(ValueError):
+        tables.fetched(facets, 5)
+    assert len(tables.fetched(facets, 152)) == 152
+    rows = spark.createDataFrame([(None,), ({"date": "2013-01-01", "parse_error": None},), ({"status": "ok"},)], "content map<string,string>")
+    assert {r.reason: r.n for r in normalize.audit(normalize.from_container(rows), 2013).collect()} == {"meta_parse_error": 1, "no_date": 1}
+
+
+def test_chart_edges(spark):
+    df = spark.createDataFrame([("2013-2-3", "1"), ("2013", None), ("-05", "1"), ("x-1", "1"), ("2013-14", "2"), (None, "3"), ("", "4"), ("2013-01-", "")], "x string, y string")
+    got = {(str(r.x), r.y) for r in chart.points(df, chart.ChartInfo(0, 1, x_type="date")).collect()}
+    assert got == {("2013-02-03", 1.0), ("2014-02-01", 2.0), ("2012-12-31", 0.0)}
+    both = chart.points(df, chart.ChartInfo(-1, -1, 0)).collect()
+    assert {(r.x, r.y) for r in both} == {(0, 0.0)} and {r.key for r in both} >= {"", "-"}
+    assert chart.points(df.select("y"), chart.ChartInfo(0, 0)).count() == 0
+    with pytest.raises(ValueError):
+        chart.points(df, chart.ChartInfo(0, 2))
+    with pytest.raises(ValueError):
+        chart.zero_fill(chart.points(df, chart.ChartInfo(0, 1, x_type="date")), most=2)
+
+
+def test_launch_arguments():
+    from argparse import ArgumentError
+
+    from tallyweave.plans.launch import arguments
+
+    a = arguments(["-input", "a,b", "-output", "c", "-year", "2013"])
+    assert (a.type, a.reducers, a.year) == ("normal", 1, 2013)
+    for wrong in (["-year", "x"], ["-year", "2013", "-type", "nope"]):
+        with pytest.raises((ArgumentError, SystemExit)):
+            arguments(["-input", "a", "-output", "c", *wrong])
+
+
 def test_jobs(spark, tmp_path):
     store = ScriptStore(str(tmp_path / "s.json"))
     store.add(Script("my script", "select 1 as a; \nselect 'x' as b"))
     with pytest.raises(ValueError):
         store.add(Script("my script", "select 2"))
     runner = JobRunner(spark, store)
+    runner._running = type("Busy", (), {"join": lambda self, t: None})()
+    assert not runner.wait(0.05)
+    runner._running = None
     good = runner.submit(store.scripts[slug("my script")])
     runner.wait()
     bad = runner.submit(Script("bad", "select from where"))
@@ -157,7 +211,9 @@ def test_oracle_on_small_tables(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()
     for f in os.listdir(d):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{d}/{f}'")
-    for name in ("cube_total", "series_month_by_content", "boxplot_by_key", "subkey_runs", "reject_audit", "extract_count", "naive_vs_cube_distinct"):
+    import tallyweave.queries_more  # noqa: F401
+
+    for name in ("cube_total", "series_month_by_content", "boxplot_by_key", "subkey_runs", "reject_audit", "extract_count", "naive_vs_cube_distinct", "container_scan", "container_audit", "json_records_scan", "year_tables", "stored_stats", "launched_cube", "sql_text_lines", "chart_dates", "chart_numbers", "pig_load_store", "diff_flatten", "user_functions"):
         rows = QUERIES[name](spark, d)
         names = sorted(rows.columns)
         got = sorted(repr(tuple(r[c] for c in names)) for r in rows.collect())
