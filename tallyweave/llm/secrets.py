@@ -4,7 +4,8 @@ Three base kinds are patterns (assign, access, hex). The other kinds are reporte
 decoded candidate has the structure of a key: signed tokens whose header decodes to JSON with an
 algorithm, DER whose nested lengths close exactly around a private key's fields (in base64 or hex,
 armoured or bare), OpenSSH key files with their length-prefixed fields, and base64 or hex text that
-decodes to a base secret. Bare runs are tried alone and joined over line ends.
+decodes to text with a secret of any kind, itself encoded up to ``DEPTH`` times. Bare runs are tried
+alone and joined over line ends.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import binascii
 import hashlib
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -42,6 +43,11 @@ _LINE_END = r"(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*"
 _BASE64_LINES = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{16,}(?:" + _LINE_END + r"[A-Za-z0-9+/_-]+)+={0,2}")
 _HEX_LINES = re.compile(r"(?:(?<=\\[nrt])|(?<![0-9A-Za-z\\]))[0-9A-Fa-f]{16,}(?:" + _LINE_END + r"[0-9A-Fa-f]+(?![0-9A-Za-z]))+")
 _LINE_ENDS = re.compile(_LINE_END)
+_HEADERS = re.compile(r"\s*((?:[A-Za-z0-9-]+:[^\n]*\n)+)")
+_CIPHER = re.compile(r"^DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]+)\s*$", re.M)
+_PRINTED = bytes(range(32, 127)) + b"\t\r\n"
+#: Encodings around a secret's text that are taken off, one in the other.
+DEPTH = 3
 Span = tuple[int, int, int]  # start, end, index in KINDS
 
 
@@ -145,21 +151,49 @@ def _key_kind(data: bytes) -> int | None:
     return 4 if is_der_private_key(data) else None
 
 
-def _decoded_kind(data: bytes | None) -> int | None:
-    """Of a key, or of text that holds a base secret."""
+def _decoded_kind(data: bytes | None, depth: int) -> int | None:
+    """Of a key, or of text that holds a secret; ``depth`` encodings within it may be taken off."""
     if not data:
         return None
     if (kind := _key_kind(data)) is not None:
         return kind
-    plain = data.isascii() and all(32 <= b < 127 or b in b"\t\r\n" for b in data)
-    return 6 if plain and base_spans(data.decode("ascii")) else None
+    if not data.isascii() or data.translate(None, _PRINTED):
+        return None
+    text = data.decode("ascii")
+    return 6 if base_spans(text) or (depth > 1 and confirmed_spans(text, depth - 1)) else None
+
+
+def armoured_kind(text: str) -> int | None:
+    """Of the body between armour lines: a key, or one under a cipher whose headers and blocks fit each other."""
+    lines = text.replace("\\r", "").replace("\\n", "\n")
+    headers = _HEADERS.match(lines)
+    body = _decoded(lines[headers.end() :] if headers else lines) or b""
+    if (kind := _key_kind(body)) is not None or not headers:
+        return kind
+    cipher = _CIPHER.search(headers[1].replace("\r", ""))
+    if not cipher or not re.search(r"^Proc-Type:\s*4,ENCRYPTED\s*$", headers[1], re.M):
+        return None
+    block = len(cipher[1]) / 2  # the initial value is one block: 8 bytes of DES, 16 of AES
+    return 4 if block in (8, 16) and len(body) >= 64 and len(body) % block == 0 else None
+
+
+class _Covered:
+    """Whether a range lies within one of some ranges."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans)
+        self.starts, self.ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
 
 
 def _unhexed(text: str) -> bytes | None:
     return bytes.fromhex(text) if len(text) % 2 == 0 else None
 
 
-def _joined_spans(text: str, lines: re.Match, decoded: Callable[[str], bytes | None], size: int) -> list[Span]:
+def _joined_spans(text: str, lines: re.Match, decoded: Callable[[str], bytes | None], size: int, depth: int) -> list[Span]:
     """Secrets over two or more lines of ``lines``; ``size`` characters encode up to three bytes.
 
     DER states its length, so it is looked for at every run and ends where that many characters do.
@@ -176,7 +210,7 @@ def _joined_spans(text: str, lines: re.Match, decoded: Callable[[str], bytes | N
 
     def found(first: int, last: int) -> bool:
         before = ends[first] - (runs[first][1] - runs[first][0])
-        kind = _decoded_kind(decoded(joined[before : ends[last]]))
+        kind = _decoded_kind(decoded(joined[before : ends[last]]), depth)
         if kind is not None:
             out.append((runs[first][0], lines.end() if last + 1 == len(runs) else runs[last][1], kind))
         return kind is not None
@@ -208,35 +242,32 @@ def _joined_spans(text: str, lines: re.Match, decoded: Callable[[str], bytes | N
     return out
 
 
-def confirmed_spans(text: str) -> list[Span]:
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[Span]:
     """Spans of candidates whose decoded structure is a secret's."""
     out: list[Span] = []
     if "." in text:
         out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            lines = m[2].replace("\\r", "").replace("\\n", "\n")
-            body = re.sub(r"^\s*(?:[A-Za-z0-9-]+:[^\n]*\n)+", "", lines)  # headers of encrypted keys
-            kind = _key_kind(_decoded(body) or b"")
-            if kind is None and body != lines and "ENCRYPTED" in m[2] and len(_decoded(body) or b"") >= 64:
-                kind = 4
-            if kind is not None:
+            if (kind := armoured_kind(m[2])) is not None:
                 out.append((m.start(), m.end(), kind))
     for pattern, decoded, size in ((_BASE64_LINES, _decoded, 4), (_HEX_LINES, _unhexed, 6)):
+        covered = _Covered(out)
         for m in pattern.finditer(text):
-            out += [x for x in _joined_spans(text, m, decoded, size) if not any(s <= x[0] and x[1] <= e for s, e, _ in out)]
+            out += [x for x in _joined_spans(text, m, decoded, size, depth) if not covered(x[0], x[1])]
+    covered = _Covered(out)
     for m in _BASE64.finditer(text):
-        if any(s <= m.start() and m.end() <= e for s, e, _ in out):
+        if covered(m.start(), m.end()):
             continue
         found = m[0]
         if found.isalpha() and (found.islower() or found[1:].islower()):
             data = None  # a long word; key encodings and wrapped text hold digits or capitals
         else:
             data = _decoded(found)
-        if (kind := _decoded_kind(data)) is not None:
+        if (kind := _decoded_kind(data, depth)) is not None:
             out.append((m.start(), m.end(), kind))
     for m in _LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _decoded_kind(bytes.fromhex(m[0]))) is not None:
+        if not covered(m.start(), m.end()) and len(m[0]) % 2 == 0 and (kind := _decoded_kind(bytes.fromhex(m[0]), depth)) is not None:
             out.append((m.start(), m.end(), kind))
     return out
 
