@@ -251,8 +251,11 @@ def pack_documents(
     A document is its ids and then id 0; null and empty texts are the one id 0. Longer ones than
     ``capacity`` are cut into full pieces, the first may be shorter. ``settings`` are (bound of
     large lengths, groups) pairs; the plan of fewest sequences is used. Repeated rows are separate
-    documents; an empty table gives an empty result; columns outside ``keep`` are not read.
+    documents; an empty table gives an empty result; columns outside ``keep`` are not read, and a kept
+    column that is named like a result or begins with an underscore raises ``ValueError``.
     """
+    if clash := [c for c in keep if c.lower() in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset") or c.startswith("_")]:
+        raise ValueError(f"columns in use: {clash}")
     cut = checkpoint(pieces(docs, list(keep), text, capacity, vocabulary))
     by_task = cut.groupBy("_pid", "length").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows

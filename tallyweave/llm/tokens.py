@@ -3,18 +3,21 @@
 Texts are cut before each space; the distinct words of a batch are encoded once, and a memo keeps
 words over batches. Cutting before single spaces between non-space characters leaves the ids as they
 are: the pre-tokenizer's pattern never runs over such a place. Texts with any other space next to
-white space are encoded whole. Strings of special tokens count as ordinary text.
+white space are encoded whole, as are texts with a string of an added token, which is one id as the
+vocabulary's file says.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 TIKTOKEN_FILE = "byte_bpe_50k.tiktoken"
+LIBRARY_FILE = "byte_bpe_50k.json"
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUNS = f"{_WHITE} {_WHITE}|  "
 
@@ -25,22 +28,32 @@ def vocabulary_path(name: str = TIKTOKEN_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that the vocabulary's own file makes one id wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Encoder:
-    """Ids of whole columns of texts. The memo holds ``memo`` words at most, the work is done ``chunk`` bytes at a time."""
+    """Ids of whole columns of texts. The memo holds ``memo`` words at most, the work is done ``chunk`` bytes at a time.
+
+    ``path`` names the ranks; ``added`` are the strings of one id, by default those of the same vocabulary's library file.
+    """
 
-    def __init__(self, path: str | None = None, memo: int = 600_000, chunk: int = 8 << 20):
+    def __init__(self, path: str | None = None, memo: int = 600_000, chunk: int = 8 << 20, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
         with open(path or vocabulary_path(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._added = added_tokens(vocabulary_path(LIBRARY_FILE)) if added is None else added
+        self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
         self._memo, self._most, self._chunk = {}, memo, chunk
         self._spaced = np.zeros(1 + max(ranks.values()), bool)
         self._spaced[[n for b, n in ranks.items() if b.startswith(b" ")]] = True
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self._bpe.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def _spaced_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word after a space. One call for all: only a word's first id starts with a space."""
@@ -66,6 +79,8 @@ class Encoder:
     def _chunk_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids by text) of texts without nulls."""
         whole = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
+        for token in self._added:
+            whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         starts = split.offsets.to_numpy()
         starts, words = starts - starts[0], split.flatten()
