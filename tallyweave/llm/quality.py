@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import checkpoint, let, scratch_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,6 +34,9 @@ OTHER_WORDS = ["the", "of", "and", "de", "la", "en", "der", "die", "und", "que",
 WORD_SLOTS = 12
 CLASSES = ["lower", "space", "upper", "digit", "letter", "symbol", "other"]
 SYMBOLS = "[#*$%&|<>]"
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+#: Languages whose references are broadcast; with more, they are joined by an exchange.
+MOST_LANGUAGES = 10_000
 
 
 def class_counts(text: Column, spaces: Column) -> Column:
@@ -144,7 +147,7 @@ def quality_rules(
     *,
     text: str = "text",
     lang: str = "lang",
-    id: str = "doc_id",  # noqa: A002
+    keep: tuple[str, ...] = ("doc_id",),
     min_words: int = 20,
     max_repeat_percent: int = 30,
     min_chars: int = 200,
@@ -154,28 +157,37 @@ def quality_rules(
     max_word_part: float = 0.80,
     min_common: int = 20,
 ) -> DataFrame:
-    """One row per document: its counts, both distances, ``base_failed``, ``kept``.
+    """One row per row of ``docs``: the ``keep`` columns, counts, both distances, ``base_failed``, ``kept``.
 
     Base rules: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of the words in
     repeated 8-word windows. The divergence verdict needs ``min_chars`` characters in words for
     the character classes and ``min_word_count`` words for the common words; below these the
     distance is still reported but not judged. Common words fail beyond ``max_word_distance``, or, if
     the reference has more of them, beyond ``max_word_part`` of the distance of a text that has none;
-    the latter only where the reference lets a text of that length expect ``min_common`` of them. A null text counts as empty (base_failed); a null
-    language is a language of its own; repeated rows are judged alike, each on its own; an empty
-    table gives an empty result; a language none of whose documents pass has no reference, and its
-    documents stay with the base rules.
+    the latter only where the reference lets a text of that length expect ``min_common`` of them. A null
+    text counts as empty (base_failed); a null language is a language of its own; repeated rows are
+    judged alike, each on its own; an empty table gives an empty result; a language none of whose
+    documents pass has no reference, and its documents stay with the base rules. A kept column that is
+    named like a result, or begins with an underscore, raises ``ValueError``; others are not read.
+
+    Counted rows are written once, and the few references broadcast to them, so nothing large is exchanged.
     """
-    rated = features(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")))
+    if clash := [c for c in keep if c.lower() in RESULT or c.startswith("_")]:
+        raise ValueError(f"columns in use: {sorted(clash)}")
+    spark = docs.sparkSession
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    rated = checkpoint(rated.withColumn("base_failed", failed))  # counts only, no texts
+    path = scratch_path(spark, "quality-counts")
+    features(docs, text, lang, keep).withColumn("base_failed", failed).write.parquet(path)
+    rated = spark.read.parquet(path)
     width = {"_classes": len(CLASSES), "_common": WORD_SLOTS + 1}
     sums = [F.array(*[F.sum(F.col(c)[i].cast("long")) for i in range(n)]).alias(f"{c}_ref") for c, n in width.items()]
-    # one row per language; joined null-safely, broadcast only if Spark finds it small
+    # one row per language, joined null-safely
     reference = rated.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_ref_lang")).agg(*sums)
     none = F.array(*[F.lit(0)] * WORD_SLOTS, F.lit(1))
-    share = lambda c: 1 - F.col(c)[WORD_SLOTS] / F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    reference = reference.withColumns({"_bare": js_distance(none, F.col("_common_ref")), "_usual": share("_common_ref")})
+    share = lambda c: 1 - F.try_divide(F.col(c)[WORD_SLOTS].cast("double"), F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double")))
+    reference = checkpoint(reference.withColumns({"_bare": js_distance(none, F.col("_common_ref")), "_usual": share("_common_ref")}))
+    if reference.count() <= MOST_LANGUAGES:
+        reference = F.broadcast(reference)
     judged = rated.join(reference, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
     distance = lambda c: F.when(F.col(f"{c}_ref").isNull(), F.lit(0.0)).otherwise(js_distance(F.col(c), F.col(f"{c}_ref")))
     expected = F.col("n_words") * F.col("_usual") >= min_common
@@ -190,5 +202,5 @@ def quality_rules(
     return (
         judged.withColumns({"class_distance": distance("_classes"), "word_distance": distance("_common")})
         .withColumn("kept", ~F.col("base_failed") & ~odd)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+        .select(*keep, *RESULT)
     )

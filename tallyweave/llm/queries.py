@@ -30,11 +30,12 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(os.path.join(sf_dir, "conversations.parquet")).select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    return chat.digest_rendered(chat.format_conversations(chat.events_of_turns(turns.unionByName(own))))
+    return chat.digest_rendered(chat.format_conversations(chat.events_of_turns(turns.unionByName(own)), together=True))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(documents(spark, sf_dir))
+    rows = quality.quality_rules(documents(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +116,46 @@ select conv_id, count(*) as n_turns,
 from made group by conv_id
 """
 
-ORACLE_SQL = {"op4_chat_formatting": _OP4}
+
+
+def _js_sql(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    p, q = f"({counts}[i] / cast(list_sum({counts}) as double))", f"({reference}[i] / cast(list_sum({reference}) as double))"
+    part = lambda x: f"(case when {x} > 0 then {x} * log2({x} / (({p} + {q}) / 2)) else 0.0 end)"
+    terms = f"list_sum(list_transform(range(1, len({counts}) + 1), lambda i: {part(p)} + {part(q)}))"
+    return f"(case when list_sum({counts}) > 0 and list_sum({reference}) > 0 then sqrt(greatest(0.0, {terms} / 2)) else 1.0 end)"
+
+
+def _op5_sql() -> str:
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    lists = " ".join(f"when '{code}' then {words(ws)}" for code, ws in quality.COMMON_WORDS.items())
+    stripped = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+    bare = "[0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1]"
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+places as (select rid, i, array_to_string(ws[i:i + 7], ' ') as k from (select rid, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, k) as c from places) where c > 1),
+cover as (select rid, count(distinct i + j) as n from (select rid, i, unnest(range(8)) as j from twice) group by rid),
+counted as (select rid, doc_id, lang, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, {stripped('#*$%&|<>')} as n_symbols,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, length(t) as n_chars, {stripped('a-z')} as lower, {stripped('A-Z')} as upper, {stripped('0-9')} as digits, {stripped(chr(92) + 'p{L}')} as letters,
+  list_transform(case lang {lists} else {words(quality.OTHER_WORDS)} end, lambda x: len(list_filter(list_transform(ws, lambda y: lower(y)), lambda y: y = x))) as common from w),
+rated as (select *, n_chars - word_chars as spaces, coalesce(n, 0) as n_repeat_words, n_words < 20 or 100 * coalesce(n, 0) > 30 * n_words as base_failed,
+  [lower, n_chars - word_chars, upper, digits, letters - lower - upper, n_symbols, n_chars - lower - (n_chars - word_chars) - upper - digits - (letters - lower - upper) - n_symbols] as classes,
+  list_append(common, n_words - cast(list_sum(common) as bigint)) as words from counted left join cover using (rid)),
+slots as (select lang, 'c' as kind, unnest(classes) as c, unnest(range(len(classes))) as i from rated where not base_failed
+  union all select lang, 'w', unnest(words), unnest(range(len(words))) from rated where not base_failed),
+sums as (select lang, kind, list(s order by i) as s from (select lang, kind, i, cast(sum(c) as bigint) as s from slots group by lang, kind, i) group by lang, kind),
+reference as (select a.lang, a.s as class_ref, b.s as word_ref, {_js_sql(bare, 'b.s')} as bare, 1 - b.s[13] / nullif(cast(list_sum(b.s) as double), 0) as usual
+  from sums a join sums b on a.lang is not distinct from b.lang where a.kind = 'c' and b.kind = 'w'),
+judged as (select r.*, usual, bare, case when class_ref is null then 0.0 else {_js_sql('classes', 'class_ref')} end as class_distance,
+  case when word_ref is null then 0.0 else {_js_sql('words', 'word_ref')} end as word_distance from rated r left join reference f on r.lang is not distinct from f.lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (word_chars >= 200 and class_distance > 0.30) and not (n_words >= 100 and (word_distance > 0.40 or
+    coalesce(n_words * usual >= 20 and 1 - words[13] / nullif(cast(n_words as double), 0) < usual and word_distance > bare * 0.80, false))) as kept,
+  round(class_distance, 6) as class_distance, round(word_distance, 6) as word_distance
+from judged"""
+
+
+ORACLE_SQL = {"op4_chat_formatting": _OP4, "op5_quality_rules": _op5_sql()}
