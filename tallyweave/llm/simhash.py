@@ -8,13 +8,16 @@ each. So each distinct fingerprint is sent to its own point and the neighbouring
 half, points meet by equality, the Manhattan bound filters, and the exact distance decides.
 
 Within a grid point no list of pairs is made: small points compare shifted columns, large ones grow
-components outwards from a seed, so at most one link per fingerprint leaves a point.
+components outwards from a seed, so at most one link per fingerprint leaves a point. A point of more
+than ``SPLIT`` fingerprints is cut by a second grid over the other half of the segments: vectors within
+the radius differ by at most one on some quarter of that half, and share a point within one of each there.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, scratch_path
 from .graph import connected_components
 
 BITS = 64
+#: Fingerprints of a grid point that one task compares; more are dealt by a second grid.
+SPLIT = 8192
 #: Tasks over which the fingerprints of one component are dealt when they learn its first row.
 SALTS = 16
 _EVEN = np.uint64(0x5555555555555555)
@@ -69,23 +74,31 @@ def thermometer(fps: np.ndarray) -> np.ndarray:
     return ((high & low) << _ONE) | (high | low)
 
 
+def _neighbours(part: np.ndarray, segments: int, tag: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(index, point) rows of ``segments`` counts in unary: the own point and all at distance 1."""
+    n = np.arange(len(part))
+    index, point = [n], [part | tag]
+    for k in range(segments):
+        low, high = np.uint64(1 << 2 * k), np.uint64(2 << 2 * k)
+        count = ((part & low) > 0).astype(np.int8) + ((part & high) > 0)
+        up, down = count < 2, count > 0  # 0 -> 1, 1 -> 2; 2 -> 1, 1 -> 0
+        index += [n[up], n[down]]
+        point += [part[up] | np.where(count[up] == 0, low, high) | tag, part[down] & ~np.where(count[down] == 2, high, low) | tag]
+    return np.concatenate(index), np.concatenate(point)
+
+
 def grid_points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of fingerprint, grid point) rows: per half, the own point and all neighbours at distance 1."""
-    index, point = [], []
     u = thermometer(fps)
-    n = np.arange(len(fps))
-    for half in (0, 1):
-        part = (u >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        tag = np.uint64(half << 32)
-        index.append(n)
-        point.append(part | tag)
-        for k in range(16):
-            low, high = np.uint64(1 << 2 * k), np.uint64(2 << 2 * k)
-            count = ((part & low) > 0).astype(np.int8) + ((part & high) > 0)
-            up, down = count < 2, count > 0  # 0 -> 1, 1 -> 2; 2 -> 1, 1 -> 0
-            index += [n[up], n[down]]
-            point += [part[up] | np.where(count[up] == 0, low, high) | tag, part[down] & ~np.where(count[down] == 2, high, low) | tag]
-    return np.concatenate(index), np.concatenate(point)
+    rows = [_neighbours((u >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF), 16, np.uint64(half << 32)) for half in (0, 1)]
+    return np.concatenate([i for i, _ in rows]), np.concatenate([p for _, p in rows])
+
+
+def second_points(points: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, second point) rows of fingerprints at first points: per quarter of the other half, the own and all neighbours."""
+    other = (thermometer(fps) >> np.where(points >> np.uint64(32) == 0, np.uint64(32), np.uint64(0))) & np.uint64(0xFFFFFFFF)
+    rows = [_neighbours((other >> np.uint64(8 * k)) & np.uint64(0xFF), 4, np.uint64(k << 8)) for k in range(4)]
+    return np.concatenate([i for i, _ in rows]), np.concatenate([p for _, p in rows])
 
 
 def _hot_links(fps: np.ndarray, u: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,7 +143,7 @@ def links_of_points(points: np.ndarray, fps: np.ndarray, radius: int, small: int
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, split: int = SPLIT) -> DataFrame:
     """Links ``(a, b)`` between distinct ``_fp`` values that join all components at ``radius`` <= 4."""
     if not 0 <= radius <= 4:
         raise ValueError("the grid of halves serves radii from 0 to 4")
@@ -142,25 +155,67 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 i, p = grid_points(f[at : at + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(f[at + i].view(np.int64))], names=["point", "f"])
 
-    def to_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_p, held_f = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def to_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, f = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("point", "a"))
+            i, second = second_points(p, f)
+            yield pa.RecordBatch.from_arrays([pa.array(p[i].view(np.int64)), pa.array(second.view(np.int64)), pa.array(f[i].view(np.int64))], names=["first", "second", "f"])
+
+    def to_links(batches: Iterator[pa.RecordBatch], most: int | None, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        """Links of sorted points; where a point has over ``most``, its rows ``(f, null, point)`` instead."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, over = 0, None  # rows of the last point so far; a point that is let through
 
-        def out(p: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        def out(a: np.ndarray, b: np.ndarray | None, point: np.ndarray | None) -> pa.RecordBatch:
+            column = lambda v: pa.nulls(len(a), pa.int64()) if v is None else pa.array(np.ascontiguousarray(v).view(np.int64))
+            return pa.RecordBatch.from_arrays([column(a), column(b), column(point)], names=["a", "b", "point"])
+
+        def links(p: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             a, b = links_of_points(p, f, radius)
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
+            return out(pairs[:, 0], pairs[:, 1], None)
 
         for batch in batches:
-            p, f = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("point", "f"))
-            held_p, held_f = np.concatenate([held_p, p]), np.concatenate([held_f, f])
-            if len(held_p) and held_p[0] != held_p[-1]:  # all but the last point are whole
-                whole = int(np.flatnonzero(held_p != held_p[-1])[-1]) + 1
-                yield out(held_p[:whole], held_f[:whole])
-                held_p, held_f = held_p[whole:], held_f[whole:]
-        yield out(held_p, held_f)
-
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (*keys, "f")]
+            p, f = cols[0] if len(keys) == 1 else cols[0] * np.uint64(1024) + cols[1], cols[-1]
+            ends = [*(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            whole = ends[-2] if len(ends) > 1 else 0  # from here on the last point, which may go on
+            for lo, hi in ((0, ends[0]), (ends[0], whole), (max(whole, ends[0]), len(p))):
+                if lo >= hi:
+                    continue
+                if (parts or over is not None) and p[lo] != (parts[0][0][0] if parts else over):
+                    if parts:
+                        yield links(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, held, over = [], 0, None
+                sizes = np.diff(np.append(np.flatnonzero(np.diff(p[lo:hi], prepend=p[lo : lo + 1] ^ _ONE)), hi - lo))
+                if len(sizes) > 1:  # whole points
+                    big = np.repeat(sizes > most, sizes) if most else np.zeros(hi - lo, bool)
+                    yield links(p[lo:hi][~big], f[lo:hi][~big])
+                    if big.any():
+                        yield out(f[lo:hi][big], None, p[lo:hi][big])
+                    continue
+                if over is None:
+                    parts.append((p[lo:hi], f[lo:hi]))
+                    held += hi - lo
+                    if most and held > most:
+                        over = p[lo]
+                        for q, g in parts:
+                            yield out(g, None, q)
+                        parts = []
+                else:
+                    yield out(f[lo:hi], None, p[lo:hi])
+        if parts:
+            yield links(*(np.concatenate(x) for x in zip(*parts)))
+
+    schema = "a long, b long, point long"
     points = fps.select("_fp").where(F.col("_fp").isNotNull()).mapInArrow(to_points, "point long, f long")
-    return points.repartition("point").sortWithinPartitions("point").mapInArrow(to_links, "a long, b long")
+    first = points.repartition("point").sortWithinPartitions("point").mapInArrow(partial(to_links, most=split, keys=("point",)), schema)
+    path = scratch_path(fps.sparkSession, "simhash-links")
+    first.write.parquet(path)
+    first = fps.sparkSession.read.schema(schema).parquet(path)
+    second = first.where("b is null").select("point", "a").mapInArrow(to_second, "first long, second long, f long").repartition("first", "second").sortWithinPartitions("first", "second")
+    second = second.mapInArrow(partial(to_links, most=None, keys=("first", "second")), schema)
+    return first.where("b is not null").unionByName(second).select("a", "b")
 
 
 def _components(prints: DataFrame, first: Column, radius: int) -> DataFrame:
@@ -203,8 +258,10 @@ def near_dedup(
 
     Rows of one id but different texts are told apart by a hash of the text, the smallest stays; of
     rows equal in both any one stays. A component without ids keeps one row too. Null and word-free
-    texts are one component (and those linked to it). ``docs`` has no column ``__row``.
+    texts are one component (and those linked to it). A column ``__row`` raises ``ValueError``.
     """
+    if "__row" in {c.lower() for c in docs.columns}:
+        raise ValueError("a column is called __row")
     row = F.struct(F.col(id).isNull().alias("no_id"), F.col(id).alias("id"), F.xxhash64(text).alias("text"))
     marked = checkpoint(with_fingerprints(docs.select(row.alias("row"), F.col(text).alias("text")), ["row"], "text", shingle, seed))
     keep = _components(marked, F.col("row"), radius).select(F.col("first").alias("__row")).distinct()
