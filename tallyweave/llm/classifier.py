@@ -188,10 +188,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, most_
     The network is fitted on the driver to a bounded sample: ``per_class`` labelled documents of each
     label and ``most_bytes`` of text in all, whole texts, by order of a hash of the id. Every document is
     scored over its whole text. Null texts count as empty; a null id is not held out and never learned
-    from; several labels of one document count as the least; unlabelled tables give an untrained, but
-    valid score; an empty table gives an empty result.
+    from; several labels of one document count as the least, and of several texts of one id the one of
+    least hash is learned from; unlabelled tables give an untrained, but valid score; an empty table
+    gives an empty result; only the columns doc_id, text and quality are read, whatever others are called.
     """
-    sample = training_rows(docs, labels, per_class).dropDuplicates(["doc_id"])
+    sample = training_rows(docs, labels, per_class).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     size = F.octet_length("text")
     texts, y, used = [], [], 0
     for r in checkpoint(sample.withColumn("_size", size)).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():

@@ -156,7 +156,7 @@ def shard_documents(
     """
     if clash := {"_high", "_low", "_size", "shard", "slot", "_cell"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns in use: {sorted(clash)}")
-    # the low half: 31 bits of the tie's hash, then a number that no other row has
+    # the low half: 31 bits of the tie's hash, then 33 of a hash of it and the row's number
     unique = F.monotonically_increasing_id()
     low = F.shiftleft(F.xxhash64(tie), 33).bitwiseXOR(F.xxhash64(tie, unique).bitwiseAND(F.lit((1 << 33) - 1)))
     keyed = checkpoint(
