@@ -3,37 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("tallyweave.shared.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.conf.set("tallyweave.shared.dir", named)
-    return named.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written to the shared folder, lineage cut, read by any executor."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..scratch import checkpoint, remove, scratch_path, shared_dir  # noqa: F401
 
 
 def let(value: Column, body) -> Column:
