@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again for the
 next. All but the last return the columns of ``documents``.
+
+Rows are judged one by one, also where ids are null or repeated. Null and empty texts have no words, so
+the quality rules reject them; a stage that gets them nevertheless (they are near copies of each other,
+hold no item and no secret, and are one token) does not fail. Ties and repeated rows are near copies of
+which one stays. An empty table gives an empty result in every stage. Columns besides those of
+``documents``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -12,17 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontam, packing, quality, secrets, simhash
-from tallyweave.llm.common import scratch_path
+from tallyweave.scratch import remove, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A row without id is judged like others and goes with its like."""
-    verdict = quality.quality_rules(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("key"), "text", "lang"), id="key")
-    rejected = verdict.where("not kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
-    at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
-    return docs.select(*COLUMNS).join(rejected, at, "left_anti")
+    """Rows that the rules keep, each judged by its own text and language."""
+    return quality.quality_rules(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows that hold no benchmark item."""
     benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    keyed = docs.select(F.xxhash64("text").alias("key"), "text")
-    found = decontam.decontaminate(keyed, benchmark, id="key").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, F.xxhash64("text") == found["doc_id"], "left_anti")
+    return decontam.without_items(docs.select(*COLUMNS), benchmark)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
+    docs, last = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         path = scratch_path(spark, f"pipeline-{k}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
