@@ -5,11 +5,11 @@ counted over all of it, are leaves of a tree of three softmax steps; any other w
 first byte, then spelled out byte by byte by a table of the corpus's unlisted words, so every word has a
 probability of its own and none is unknown. The network starts as the corpus's unigram table.
 
-What recurs is remembered beside the network: contexts (both words on either side, chosen by their
-hash, one in ``ONE_IN``) are counted over the whole corpus in a table that grows with it. Where such a
-context stands elsewhere too, the word's probability is the mean of these other places' words and of the
-network's, which counts as ``PRIOR`` places. A document's score is the sum of the conditional
-log-probabilities of its words.
+What recurs is remembered beside the network, in a table that grows with the corpus. Texts are cut into
+chunks at pairs of words whose hash says so (one in ``ONE_IN``), so that equal passages are cut alike. A
+chunk's context is the pair on either side of it. Where the context stands elsewhere too, the chunk's
+probability is the mean of these other places' chunks and of the network's product over its words, which
+counts as ``PRIOR`` places. A document's score is the sum of the conditional log-probabilities.
 
 Training covers all documents. They are dealt by a hash of id and text into parts of a fixed number of
 words, however the table lies in files; in each round the parts learn from the same weights, and the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, scratch_path
+from .common import checkpoint, remove, scratch_path
 
 BRANCH = 32  # choices of a softmax step
 NODES = (1, BRANCH, BRANCH**2)  # of each step
@@ -42,7 +42,7 @@ EDGE = VOCABULARY  # what lies beyond a text's ends
 SHAPES = ((VOCABULARY + 1, HIDDEN), (len(OFFSETS), HIDDEN, HIDDEN), (HIDDEN,), *(s for n in NODES for s in ((n, HIDDEN, BRANCH), (n, BRANCH))))
 END, SPELLED = 256, 257  # a word's end, and the number of things that may come next in it
 BEFORE = 32 * 256  # what the spelling looks back at: the last byte, and the one before it modulo 32
-ONE_IN = 8
+ONE_IN = 16
 PRIOR = 1.0
 UNIT = 1 << 32  # logarithms are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 
@@ -290,11 +290,12 @@ class Learner:
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of what parts learned, which is small and travels in half precision."""
     n = pdf["n"].to_numpy(np.float64)
     flat = np.zeros(sum(int(np.prod(s)) for s in SHAPES))
-    for k, w in sorted(zip(n, pdf["weights"])):
-        flat += k * np.frombuffer(w, np.float32)
-    return pd.DataFrame({"place": [int(pdf["place"].iloc[0])], "n": [int(n.sum())], "weights": [(flat / max(1.0, n.sum())).astype(np.float32).tobytes()]})
+    for k, w in sorted(zip(n, pdf["change"])):
+        flat += k * np.frombuffer(w, np.float16)
+    return pd.DataFrame({"place": [int(pdf["place"].iloc[0])], "n": [int(n.sum())], "change": [(flat / max(1.0, n.sum())).astype(np.float16).tobytes()]})
 
 
 def dealt(docs: DataFrame, words: Words, id_: str, text: str, parts: int, rounds: int) -> DataFrame:
@@ -316,9 +317,9 @@ def dealt(docs: DataFrame, words: Words, id_: str, text: str, parts: int, rounds
     return keyed.select(F.pmod("key", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright("key", 20), F.lit(parts)).cast("int").alias("part"), "key", "ids")
 
 
-def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_id", text: str = "text", rounds: int = 4, rate: float = 0.02, steps: int = 64, most: int = 16384, part_words: int = 1 << 20, fan_in: int = 8) -> list[np.ndarray]:  # noqa: A002
+def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_id", text: str = "text", rounds: int = 4, rate: float = 0.02, steps: int = 64, most: int = 32768, part_words: int = 1 << 21, fan_in: int = 8) -> list[np.ndarray]:  # noqa: A002
     """Weights learned from every document once, in ``rounds`` of about ``part_words`` words and ``steps`` steps a part; a step has 1024 words at least and ``most`` at most."""
-    flat, schema = packed(start_weights(counts)), "place int, n long, weights binary"
+    flat, schema = packed(start_weights(counts)), "place int, n long, change binary"
     parts = max(1, round(float(counts.sum()) / rounds / part_words))
     batch = int(np.clip(counts.sum() / rounds / parts / steps, 1024, most))
     path = scratch_path(docs.sparkSession, "lm-ids")
@@ -328,7 +329,7 @@ def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_i
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
             learner, now = None, -1
-            out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([learner.words], pa.int64()), pa.array([packed(learner.weights).tobytes()], pa.binary())], names=["place", "n", "weights"])
+            out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([learner.words], pa.int64()), pa.array([(packed(learner.weights) - start).astype(np.float16).tobytes()], pa.binary())], names=["place", "n", "change"])
             for b in batches:
                 for part, ids in zip(b.column("part").to_pylist(), b.column("ids")):
                     if part != now:
@@ -342,13 +343,14 @@ def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_i
                 yield out()
 
         part = every.where(F.col("round") == r).select("part", "key", "ids").repartition(parts, "part").sortWithinPartitions("part", "key", "ids")
-        level, places = checkpoint(part.mapInArrow(learn, schema)), parts
+        level, places = part.mapInArrow(learn, schema), parts
         while places > 1:  # averages of fan_in, then of those
             places = -(-places // fan_in)
             level = level.withColumn("place", F.floor(F.col("place") / fan_in).cast("int")).groupBy("place").applyInPandas(_average, schema)
         found = level.collect()  # one row, or none if no text has a word
         if found:
-            flat = np.frombuffer(found[0]["weights"], np.float32)
+            flat = flat + np.frombuffer(found[0]["change"], np.float16).astype(np.float32)
+    remove(docs.sparkSession, path)
     return unpacked(flat)
 
 
@@ -360,21 +362,50 @@ def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1
     return np.concatenate([log_probabilities(weights, target[a : a + block], context[:, a : a + block]) for a in range(0, len(target), block)])
 
 
-def context_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hash of both words on either side of each word, of texts of ``counts`` words end to end; ends differ from words."""
-    n = len(hashes)
-    laid = np.full(n + 2 * (len(counts) + 1), 0x9E3779B97F4A7C15, np.uint64)
-    at = np.arange(n) + 2 * (1 + np.repeat(np.arange(len(counts)), counts))
-    laid[at] = hashes
-    out = np.zeros(n, np.uint64)
-    for o in OFFSETS:
-        out = (out ^ laid[at + o]) * np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-    return out
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a * np.uint64(0xD6E8FEB86659FD93)) ^ (b * np.uint64(0xA0761D6478BD642F))
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xE7037ED1A0B428DB)
+    return out ^ (out >> np.uint64(29))
+
+
+@dataclass
+class Chunks:
+    """Chunks of texts laid end to end: where they begin and end, hashes of their contexts and words, their number by text."""
+
+    start: np.ndarray
+    end: np.ndarray
+    context: np.ndarray
+    target: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray) -> Chunks:
+        """From word hashes. A text's ends bound its first and last chunk; nothing lies between pairs that touch."""
+        n, ends = len(hashes), np.cumsum(counts)
+        text = np.repeat(np.arange(len(counts)), counts)
+        pair = _mixed(hashes[:-1], hashes[1:])
+        cut = np.flatnonzero((pair % np.uint64(ONE_IN) == 0) & (text[:-1] == text[1:])) if n else np.zeros(0, np.int64)
+        some = np.flatnonzero(counts)
+        at = np.concatenate([ends[some] - counts[some], cut])  # texts' beginnings come before a pair at the same place
+        order = np.argsort(at, kind="stable")
+        of_text = np.concatenate([some, text[cut]])[order]
+        start = np.concatenate([ends[some] - counts[some], cut + 2])[order]
+        left = np.concatenate([np.zeros(len(some), np.uint64), pair[cut] if n else np.zeros(0, np.uint64)])[order]
+        last = np.append(of_text[1:] != of_text[:-1], True)[: len(start)]
+        end = np.where(last, ends[of_text], np.append(at[order][1:], 0)[: len(start)])
+        right = np.where(last, np.uint64(0), np.append(left[1:], np.uint64(0))[: len(start)])
+        held = np.flatnonzero(end > start)
+        start, end, of_text = start[held], end[held], of_text[held]
+        # a polynomial in an odd number, whose inverse moves each chunk to its own beginning
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, r, np.uint64))) for r in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+        sums = np.append(np.uint64(0), np.cumsum(hashes * up[:n]))
+        target = _mixed((sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64))
+        return cls(start, end, _mixed(left[held], right[held]), target, np.bincount(of_text, minlength=len(counts)))
 
 
 def _scores(docs: DataFrame, words: Words, weights: list[np.ndarray], id_: str, text: str) -> DataFrame:
-    """``(doc_id, n_words, total, contexts, targets, logs)``: sums in UNITs, and of remembered places the hashes and logs."""
+    """``(doc_id, n_words, total, contexts, targets, logs)``: sums in UNITs; of each chunk the hashes and the log-probability."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_].dataType), *T._parse_datatype_string("n_words long, total long, contexts array<long>, targets array<long>, logs array<float>").fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,11 +421,11 @@ def _scores(docs: DataFrame, words: Words, weights: list[np.ndarray], id_: str,
                 ends = np.concatenate([[0], np.cumsum(n)])
                 p = score_texts(weights, np.split(ids[at], ends[1:-1])) + spell[at]
                 sums = np.concatenate([[0], np.cumsum(np.round(p * UNIT).astype(np.int64))])
-                context = context_hashes(hashes[at], n)
-                some = np.flatnonzero(context % np.uint64(ONE_IN) == 0)
-                lists = pa.array(np.searchsorted(some, ends).astype(np.int32))
+                c = Chunks.of(hashes[at], n)
+                lists = pa.array(np.concatenate([[0], np.cumsum(c.counts)]).astype(np.int32))
                 arrays = [b.column("doc_id").slice(row, len(n)), pa.array(n), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
-                arrays += [pa.ListArray.from_arrays(lists, pa.array(v)) for v in (context[some].view(np.int64), hashes[at[some]].view(np.int64), p[some].astype(np.float32))]
+                logs = ((sums[c.end] - sums[c.start]) / UNIT).astype(np.float32)
+                arrays += [pa.ListArray.from_arrays(lists, pa.array(v)) for v in (c.context.view(np.int64), c.target.view(np.int64), logs)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
                 row += len(n)
 
@@ -404,8 +435,8 @@ def _scores(docs: DataFrame, words: Words, weights: list[np.ndarray], id_: str,
 def remembered(scored: DataFrame) -> DataFrame:
     """``(row, gain)``: what the other places of recurring contexts add to a row's sum, in UNITs.
 
-    A context's places are counted by partial sums before the exchange, and places that do not recur
-    are left behind by a join, which adaptive execution splits where a context is very common.
+    A context's places are counted by partial sums before the exchange, and chunks whose context does not
+    recur are left behind by a join, which adaptive execution splits where a context is very common.
     """
     spark = scored.sparkSession
     each = scored.select("row", F.explode(F.arrays_zip("contexts", "targets", "logs")).alias("m")).select("row", F.col("m.contexts").alias("context"), F.col("m.targets").alias("target"), F.col("m.logs").alias("log"))
