@@ -1,8 +1,10 @@
 """The cube: five exact indicators for every combination of criteria and wildcards.
 
 Every record gives two rows, one for its content (with its number and sizes) and one for its URL. Equal
-rows are grouped before they are expanded to the cube's cells, once for both; a grouped aggregate then
-removes each distinct key from its cells, and partial aggregation shrinks every exchange.
+rows are grouped, then dealt by content or URL, and only then expanded to the cube's cells: as all rows of
+a content or URL are in one partition, the aggregate that removes it from its cells needs no further
+exchange, and the 64-fold expansion never leaves its task. A content or URL of very many records has,
+once grouped, no more rows than there are combinations of criteria.
 """
 
 from __future__ import annotations
@@ -28,13 +30,12 @@ def grouping_sets(mode: str) -> list[tuple[str, ...]]:
     return [("month", *s) for s in sets] if mode == "explicit_month" else sets
 
 
-def _cells(df: DataFrame, keep: list[tuple[str, ...]], keys: list[str], *sums) -> DataFrame:
-    """``df`` aggregated by cell and ``keys``; a wildcard is told by grouping(), never by a null."""
-    sets = [[F.col(c) for c in ("status", *s, *keys)] for s in keep]
-    columns = [F.col(c) for c in (*CRITERIA, *keys)]
-    marked = df.groupingSets(sets, *columns).agg(*sums, *[F.grouping(c).alias(f"_any_{c}") for c in FREE])
-    names = [F.when(F.col(f"_any_{c}") == 1, ANY).otherwise(F.col(c)).alias(c) for c in FREE]
-    return marked.select("status", *names, *[c for c in marked.columns if c not in CRITERIA and not c.startswith("_any_")])
+def _expanded(df: DataFrame, keep: list[tuple[str, ...]]) -> DataFrame:
+    """Rows once for each grouping, told by ``grouping``, so that a real ``*`` is never taken for a wildcard."""
+    masks = [sum(1 << FREE.index(c) for c in s) for s in keep]
+    each = df.withColumn("grouping", F.explode(F.array(*map(F.lit, masks))))
+    named = {c: F.when(F.col("grouping").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(ANY) for i, c in enumerate(FREE)}
+    return each.withColumns(named)
 
 
 def cube(normal: DataFrame, mode: str = "normal", only: list[tuple[str, ...]] | None = None) -> DataFrame:
@@ -50,12 +51,13 @@ def cube(normal: DataFrame, mode: str = "normal", only: list[tuple[str, ...]] |
     url = F.struct(F.lit(True).alias("is_url"), F.col("url_md5").alias("key"), none.alias("n"), none.alias("ms"), none.alias("rs"))
     sums = [F.sum("n").alias("n"), F.sum("ms").alias("ms"), F.max("rs").alias("rs")]
     both = normal.select(*CRITERIA, F.explode(F.array(content, url)).alias("r")).select(*CRITERIA, "r.*")
-    rows = both.groupBy(*CRITERIA, "is_url", "key").agg(*sums)
-    distinct = _cells(rows, keep, ["is_url", "key"], *sums)
+    rows = both.groupBy(*CRITERIA, "is_url", "key").agg(*sums).repartition("is_url", "key")
+    distinct = _expanded(rows, keep).groupBy("grouping", *CRITERIA, "is_url", "key").agg(*sums)
     counted = lambda is_url: F.count(F.when(F.col("is_url") == is_url, F.col("key")))
-    return distinct.groupBy(*CRITERIA).agg(
+    cells = distinct.groupBy("grouping", *CRITERIA).agg(
         F.sum("n").alias("meta_count"), counted(True).alias("url_count"), counted(False).alias("sha_count"), F.sum("ms").alias("meta_size"), F.sum("rs").alias("real_size")
     )
+    return cells.drop("grouping")
 
 
 def roll_up(facets: DataFrame, *keep: str) -> DataFrame:
