@@ -57,17 +57,19 @@ class Result:
 
 
 class ScriptStore:
-    """Scripts and results in one JSON file, replaced as a whole."""
+    """Scripts and results in one JSON file of the driver, replaced as a whole; without a path they last as long as the object."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None):
         self.path, self.scripts, self.results = path, {}, {}
-        if os.path.exists(path):
+        if path and os.path.exists(path):
             with open(path) as f:
                 d = json.load(f)
             self.scripts = {s["id"]: Script(**s) for s in d["scripts"]}
             self.results = {r["id"]: Result(**r) for r in d["results"]}
 
     def save(self) -> None:
+        if not self.path:
+            return
         with open(self.path + ".tmp", "w") as f:
             json.dump({"scripts": [asdict(s) for s in self.list_scripts()], "results": [asdict(r) for r in self.list_results()]}, f)
         os.replace(self.path + ".tmp", self.path)

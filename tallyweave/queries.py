@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import criteria as C
-from .operators import chart, cube as cubes, normalize, stats
+from .operators import chart, cube as cubes, normalize, relational, stats
 from .operators.filters import Filter, FilterGroup, measure_predicate, series_predicate
 from .plans.query import ChartQuery, compare_years as compare, point_cells
 from .schema import CRITERIA, INDICATORS, RECORD
@@ -325,9 +325,10 @@ def join_theta(spark, sf_dir):
 
 @query("select coalesce(a.k, b.k) as k, coalesce(a.n, 0) as customers, coalesce(b.n, 0) as suppliers from (select c_nationkey as k, count(*) as n from customer group by 1) a full join (select s_nationkey as k, count(*) as n from supplier group by 1) b on a.k = b.k")
 def cogroup_counts(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return a.join(b, "k", "full").na.fill(0, ["customers", "suppliers"])
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    both = relational.cogroup(a, b, "k", left_n=F.count(F.lit(1)), right_n=F.count(F.lit(1)))
+    return both.select("k", F.col("left_n").alias("customers"), F.col("right_n").alias("suppliers"))
 
 
 @query("select c_nationkey as k from customer union select s_nationkey from supplier")

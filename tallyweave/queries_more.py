@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import pandas as pd
@@ -12,6 +13,7 @@ from .functions import pig
 from .operators import chart, cube as cubes, normalize, relational, stats
 from .operators.filters import Filter, FilterGroup, series_predicate
 from .plans import launch
+from .plans.jobs import JobRunner, Script, ScriptStore
 from .plans.query import ChartQuery, get_stats, point_cells
 from .plans.sqltext import SqlText
 from .queries import _ALL, _SIZE, _cell_sql, _cube_sql, _m, facets, query, records, table
@@ -19,6 +21,7 @@ from .schema import CRITERIA, INDICATORS, STATUSES
 from .scratch import scratch_path
 from .sources import tables
 from .sources.store import FacetStore
+from .streaming import ingest
 
 # Content types of made-up crawl records, by page_id modulo 8; the last has none.
 _TYPES = ("text/html", "text/html; charset=utf-8", "application/xhtml+xml", "image/png", "Video/mp4", "audio/ogg", "application/pdf")
@@ -297,6 +300,41 @@ def encoded_transforms(spark, sf_dir):
     return spark.createDataFrame([(n, chart.ChartInfo(transform=n).encoded_transform()) for n in names], "name string, encoded string")
 
 
+_TREE = """{"type": "and", "filters": [{"type": "or", "filters": [{"type": "site", "operator": "in", "value": ["BUILDING", "MACHINERY"]},
+ {"type": "content", "operator": "equal", "value": ["N"]}]}, {"type": "status", "operator": "different", "value": ["ok"]}]}"""
+
+
+@query(f"with {_m()}, f as ({_cube_sql([('site', 'content')])}) select status, site, content, meta_count from f where (site in ('BUILDING', 'MACHINERY') or content = 'N') and status <> 'ok'")
+def filter_from_json(spark, sf_dir):
+    tree = FilterGroup.from_dict(json.loads(_TREE))
+    return facets(spark, sf_dir, ("site", "content")).where(tree.to_column()).select("status", "site", "content", "meta_count")
+
+
+# --- scripts and streams
+@query("select 1 as result, n_regionkey || ',' || count(*) as line from nation group by n_regionkey union all select 1, 'all,' || count(*) from nation union all select 2, 'failed'")
+def script_results(spark, sf_dir):
+    """Two scripts of a store run one after the other: one of two statements, one that fails in its second."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("tallyweave_nation")
+    store = ScriptStore()
+    store.add(Script("by region", "select n_regionkey, count(*) from tallyweave_nation group by n_regionkey;\nselect 'all', count(*) from tallyweave_nation"))
+    runner = JobRunner(spark, store)
+    ids = [runner.submit(store.scripts["by_region"])]
+    runner.wait()
+    ids.append(runner.submit(Script("wrong", "select 1;\nselect from")))
+    runner.wait()
+    lines = [(i, line) for i in ids for line in (store.results[i].lines if store.results[i].ok else ["failed"])]
+    return spark.createDataFrame(lines, "result int, line string")
+
+
+@query(f"with {_crawl_sql()} select month, status, count(*) as n, cast(sum(length) as bigint) as bytes from m group by month, status")
+def streamed_records(spark, sf_dir):
+    """The crawl as a stream of JSON files, normalized and appended by month until all is read."""
+    path = scratch_path(spark, "stream")
+    _crawl(spark, sf_dir).drop("page_id").repartition(4).write.json(f"{path}/in")
+    ingest.append_normalized(ingest.stream_records(spark, f"{path}/in"), 2013, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy(F.col("month").cast("string").alias("month"), "status").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+
+
 # --- relational operators of scripts
 @query("select n_name, count(s_suppkey) as suppliers, count(*) as n from supplier right join nation on s_nationkey = n_nationkey group by n_name")
 def join_right(spark, sf_dir):

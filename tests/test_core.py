@@ -137,6 +137,19 @@ def test_placeholder_leaves_literals_and_keywords_alone():
         assert with_table(sql, "t") == want
 
 
+def test_cache_of_results(spark):
+    spark.range(10).createOrReplaceTempView("ten")
+    text = SqlText(spark, keep=2, most_lines=6, most_fetched=8)
+    for q in ("select id from ten where id < 2", "select id from ten where id < 3", "select id from ten where id < 6", "select id from ten where id < 4"):
+        text.lines(q)
+    assert list(text._kept) == ["select id from ten where id < 3", "select id from ten where id < 4"]  # the longest is not kept, the oldest went
+    text.lines("select id from ten where id < 3")
+    text.lines("select id from ten where id < 1")
+    assert "select id from ten where id < 3" in text._kept and text.csv("select id from ten", html=True).startswith("<pre>failure:more than 8")
+    text.update("create or replace temporary view ten as select 1 as id")
+    assert not text._kept
+
+
 def test_cells_and_bounds(spark):
     facets = cube.cube(normalize.normalize(spark.createDataFrame(RAW, RECORD), 2013))
     with pytest.raises(ValueError):
@@ -213,7 +226,7 @@ def test_oracle_on_small_tables(spark):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{d}/{f}'")
     import tallyweave.queries_more  # noqa: F401
 
-    for name in ("cube_total", "series_month_by_content", "boxplot_by_key", "subkey_runs", "reject_audit", "extract_count", "naive_vs_cube_distinct", "container_scan", "container_audit", "json_records_scan", "year_tables", "stored_stats", "launched_cube", "sql_text_lines", "chart_dates", "chart_numbers", "pig_load_store", "diff_flatten", "user_functions"):
+    for name in ("cube_total", "series_month_by_content", "boxplot_by_key", "subkey_runs", "reject_audit", "extract_count", "naive_vs_cube_distinct", "container_scan", "container_audit", "json_records_scan", "year_tables", "stored_stats", "launched_cube", "sql_text_lines", "chart_dates", "chart_numbers", "pig_load_store", "diff_flatten", "user_functions", "script_results", "streamed_records", "filter_from_json", "cogroup_counts"):
         rows = QUERIES[name](spark, d)
         names = sorted(rows.columns)
         got = sorted(repr(tuple(r[c] for c in names)) for r in rows.collect())
