@@ -16,7 +16,7 @@ from .plans import launch
 from .plans.jobs import JobRunner, Script, ScriptStore
 from .plans.query import ChartQuery, get_stats, point_cells
 from .plans.sqltext import SqlText
-from .queries import _ALL, _SIZE, _cell_sql, _cube_sql, _m, facets, query, records, table
+from .queries import _ALL, _SIZE, _cube_sql, _m, facets, query, records, table
 from .schema import CRITERIA, INDICATORS, STATUSES
 from .scratch import scratch_path
 from .sources import tables
