@@ -14,7 +14,6 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession

@@ -590,6 +590,14 @@ def test_sharding(spark, odd, none):
     for r in rows:
         by.setdefault(r.shard, []).append(r)
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values()) and set(by) <= set(range(24))
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in texts)
+    text_of, places = {r.doc_id: r.text for r in texts}, {}
+    for r in rows:
+        places.setdefault(text_of[r.doc_id], []).append((r.shard, r.slot))
+    for found in places.values():  # equal texts lie side by side, over a boundary if need be
+        found.sort()
+        assert all((b == a + 1 and s == t) or (t == s + 1 and b == 0 and a + 1 == len(by[s])) for (s, a), (t, b) in zip(found, found[1:]))
     sizes, most = [sum(r["size"] for r in by.get(s, [])) for s in range(24)], max(r["size"] for r in rows)
     assert max(sizes) - min(sizes) <= 2 * most
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("g"), F.lit(10).cast("long").alias("size")).repartition(5)
@@ -658,6 +666,22 @@ def test_classifier_covers_whole_texts():
     assert np.allclose(classifier.scores(net, texts), one, atol=1e-6) and one[1] == one[2] and one[0] != one[4]
 
 
+def test_classifier_equals_place_by_place():
+    """Scores against plain loops over places, chunks and filters."""
+    net = classifier.new_network(5)
+    net.weight[:] = np.random.default_rng(6).normal(0, 0.5, net.weight.shape)
+    texts = ["", "x", "plain words " * 30, "é" * 257, "".join(chr(33 + i % 90) for i in range(700))]
+    for t, got in zip(texts, classifier.scores(net, texts)):
+        data, tops = classifier.padded(t.encode()), []
+        n, end = len(data), np.append(classifier.padded(t.encode()), np.zeros(classifier.WIDTH, np.uint8))
+        for c in range(0, n, classifier.CHUNK):
+            places = range(c, c + classifier.CHUNK if c + classifier.CHUNK < n else n - classifier.WIDTH + 1)
+            tops.append(np.max([sum(net.embed[end[p + k]].astype(float) @ net.filters[k] for k in range(classifier.WIDTH)) for p in places], axis=0))
+        act = np.maximum(np.array(tops) + net.bias, 0)
+        z = np.concatenate([act.mean(axis=0), act.max(axis=0)]) @ net.weight + net.offset[0]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_classifier_meets_patterns_at_odd_places():
     net = classifier.new_network(4)
     t = net.tables()
