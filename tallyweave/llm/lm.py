@@ -44,6 +44,7 @@ END, SPELLED = 256, 257  # a word's end, and the number of things that may come
 BEFORE = 32 * 256  # what the spelling looks back at: the last byte, and the one before it modulo 32
 ONE_IN = 16
 PRIOR = 1.0
+SALTS = 16
 UNIT = 1 << 32  # logarithms are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 
 
@@ -151,9 +152,20 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the ``most`` largest counts, then by word. Tasks send only words near the bound or above it, not ``most`` each."""
+    step = F.floor(F.log2("n") * 16)
+    rest, least = most, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):  # 1024 rows at most
+        rest, least = rest - r["words"], r["step"]
+        if rest <= 0:
+            break
+    return counts.where(step >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+
+
 def learn_words(counts: DataFrame) -> tuple[Words, np.ndarray]:
     """The words of ``counts``, and the number of occurrences of each id."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
+    top = _most_frequent(counts, VOCABULARY - RARE)
     listed = [r["word"] for r in top]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +329,12 @@ def dealt(docs: DataFrame, words: Words, id_: str, text: str, parts: int, rounds
     return keyed.select(F.pmod("key", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright("key", 20), F.lit(parts)).cast("int").alias("part"), "key", "ids")
 
 
-def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_id", text: str = "text", rounds: int = 4, rate: float = 0.02, steps: int = 64, most: int = 32768, part_words: int = 1 << 21, fan_in: int = 8) -> list[np.ndarray]:  # noqa: A002
-    """Weights learned from every document once, in ``rounds`` of about ``part_words`` words and ``steps`` steps a part; a step has 1024 words at least and ``most`` at most."""
+def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_id", text: str = "text", rounds: int = 4, rate: float = 0.02, steps: int = 64, most: int = 32768, part_words: int = 1 << 21, least_parts: int = 8, fan_in: int = 8) -> list[np.ndarray]:  # noqa: A002
+    """Weights learned from every document once, in ``rounds`` of about ``part_words`` words a part, less where ``least_parts`` parts of ``steps`` steps can be had; a step has 1024 words at least and ``most`` at most."""
     flat, schema = packed(start_weights(counts)), "place int, n long, change binary"
-    parts = max(1, round(float(counts.sum()) / rounds / part_words))
-    batch = int(np.clip(counts.sum() / rounds / parts / steps, 1024, most))
+    of_round = float(counts.sum()) / rounds
+    parts = max(1, round(max(of_round / part_words, min(least_parts, of_round / (1024 * steps)))))
+    batch = int(np.clip(of_round / parts / steps, 1024, most))
     path = scratch_path(docs.sparkSession, "lm-ids")
     dealt(docs, words, id, text, parts, rounds).write.partitionBy("round").parquet(path)
     every = docs.sparkSession.read.schema("part int, key long, ids binary, round int").parquet(path)
@@ -445,8 +458,10 @@ def remembered(scored: DataFrame) -> DataFrame:
     path = scratch_path(spark, "lm-recurring")
     each.join(again, "context").write.parquet(path)
     hits = spark.read.parquet(path)
-    mixed = hits.where("least <> most").groupBy("context", "target").agg(places.alias("same"))  # others have one word in all places
-    found = hits.join(mixed, ["context", "target"], "left").withColumn("same", F.coalesce("same", "n"))
+    # other contexts have one chunk in all places; a very common chunk is dealt over SALTS tasks
+    mixed = hits.where("least <> most").groupBy("context", "target").agg(places.alias("same")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = hits.where("least <> most").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    found = salted.join(mixed, ["context", "target", "salt"]).drop("salt").unionByName(hits.where("least = most").withColumn("same", F.col("n")))
     p = (F.col("same") - 1 + PRIOR * F.exp(F.col("log").cast("double"))) / (F.col("n") - 1 + PRIOR)
     return found.groupBy("row").agg(F.sum(F.round((F.log(p) - F.col("log")) * UNIT).cast("long")).alias("gain"))
 
