@@ -231,7 +231,8 @@ def _components(prints: DataFrame, first: Column, radius: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("_fp"), F.lit(SALTS)).cast("int")
     firsts = linked.join(distinct, "_fp").groupBy("component").agg(F.min("least").alias("first"))
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    moved = linked.withColumn("salt", salt).join(firsts, ["component", "salt"]).select("_fp", "first")
+    # a merge of both sides: with the links broadcast instead, all of a component would come out of one task
+    moved = linked.withColumn("salt", salt).join(firsts.hint("merge"), ["component", "salt"]).select("_fp", "first")
     return checkpoint(distinct.join(moved, "_fp", "left").select("_fp", F.coalesce("first", "least").alias("first")))
 
 
