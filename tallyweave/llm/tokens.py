@@ -40,7 +40,7 @@ class Encoder:
     ``path`` names the ranks; ``added`` are the strings of one id, by default those of the same vocabulary's library file.
     """
 
-    def __init__(self, path: str | None = None, memo: int = 600_000, chunk: int = 8 << 20, added: dict[str, int] | None = None):
+    def __init__(self, path: str | None = None, memo: int = 300_000, chunk: int = 4 << 20, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
