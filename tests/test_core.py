@@ -2,6 +2,7 @@ import json
 import os
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,40 @@ def test_cube_equals_enumeration(spark, rows):
     assert as_cells(cube.cube(spark.createDataFrame(rows, NORMAL))) == brute_cube(dicts)
 
 
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 20])
+def test_cube_in_pieces_equals_enumeration(spark, monkeypatch, chunk):
+    """Keys met in several pieces, null and starred criteria, contents of several lengths."""
+    monkeypatch.setattr(cube, "CHUNK", chunk)
+    rows = [(("ok", None)[i % 2], f"{i % 3}", ("a", "*", None)[i % 3], "c", "fr", "s", "1", f"u{i % 7}", f"h{i % 4}", i % 5 * 2**40) for i in range(60)]
+    cells = cube.cube(spark.createDataFrame(rows, NORMAL)).collect()
+    expected = brute_cube([dict(zip(NORMAL.names, r)) for r in rows if r[2] != "*"])
+    # a real star is a cell beside the wildcard's; rows without any are compared with the enumeration
+    plain = {tuple(r[c] for c in CRITERIA): tuple(r[i] for i in INDICATORS) for r in cube.cube(spark.createDataFrame([r for r in rows if r[2] != "*"], NORMAL)).collect()}
+    assert plain == expected
+    starred = [r["meta_count"] for r in cells if r["status"] == "ok" and r["site"] == "*" and {r[c] for c in CRITERIA[1:] if c != "site"} == {"*"}]
+    assert sorted(starred) == [10, 30]
+
+
+def test_cube_has_no_table_of_expanded_rows(spark):
+    """Two rows of a record are the most that Spark makes; what a task sends on are sums by cell."""
+    rows = [("ok", "m", "a", "c", "fr", "s", "1", f"u{i}", f"h{i}", 1) for i in range(500)]
+    made = cube.cube(spark.createDataFrame(rows, NORMAL).repartition(4))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("MapInArrow") == 1
+    assert made.count() == 64
+    (piece,) = cube._whole_keys(iter([pa.RecordBatch.from_pylist([dict(zip(CRITERIA, r)) | {"is_url": False, "key": r[8], "n": 1, "ms": 1, "rs": 1} for r in rows])]), 1000)
+    assert [len(columns[0]) for columns in cube._counted(piece, [0, 63])] == [1, 1]
+
+
+def test_cube_sums_beyond_a_long_raise():
+    row = dict(zip(CRITERIA, ("ok", "m", "a", "c", "fr", "s", "1"))) | {"is_url": False, "n": 1, "ms": 2**62, "rs": 2**62}
+    two = pa.RecordBatch.from_pylist([row | {"key": "a"}, row | {"key": "b", "site": "b"}])
+    assert [c[11].to_pylist() for c in cube._counted(two, [2])] == [[2**62, 2**62]]
+    with pytest.raises(OverflowError):
+        list(cube._counted(two, [0]))
+
+
+
 def test_size_classes(spark):
     from pyspark.sql import functions as F
 
