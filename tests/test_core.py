@@ -87,6 +87,23 @@ def test_cube_has_no_table_of_expanded_rows(spark):
     assert [len(columns[0]) for columns in cube._counted(piece, [0, 63])] == [1, 1]
 
 
+STORED = ("stored_point",)
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_stored_question_builds_without_expanded_rows(spark, monkeypatch, name):
+    """The first question builds the whole cube, and no plan of that has rows for each grouping."""
+    import __spark_entry__ as entry
+    from tallyweave import queries_more
+
+    built, save = [], queries_more.FacetStore.save
+    monkeypatch.setattr(queries_more.FacetStore, "years", lambda self: [])
+    monkeypatch.setattr(queries_more.FacetStore, "save", lambda self, facets, year: (built.append(facets), save(self, facets, year)))
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert [f._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") for f in built] == [1]
+    assert spark.table(queries_more._store(spark, "/root/testdata/sf0.001").table(1998)).count() == built[0].count()
+
+
 def test_cube_sums_beyond_a_long_raise():
     row = dict(zip(CRITERIA, ("ok", "m", "a", "c", "fr", "s", "1"))) | {"is_url": False, "n": 1, "ms": 2**62, "rs": 2**62}
     two = pa.RecordBatch.from_pylist([row | {"key": "a"}, row | {"key": "b", "site": "b"}])
