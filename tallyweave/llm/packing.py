@@ -28,6 +28,12 @@ from .common import checkpoint
 from .tokens import encoder
 
 
+#: Tasks that tokenize, for each core: a file is written by each, and for a file Hadoop without its native part starts a process out of the executor.
+TASKS_PER_CORE = 4
+#: Most counts by task and length that go to all executors at once; more are exchanged.
+MOST_BROADCAST = 1 << 18
+
+
 class _Knapsack:
     """Best multiset of sizes within the capacity, by value; one layer for each further item."""
 
@@ -256,7 +262,8 @@ def pack_documents(
     """
     if clash := [c for c in keep if c.lower() in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset") or c.startswith("_")]:
         raise ValueError(f"columns in use: {clash}")
-    cut = checkpoint(pieces(docs, list(keep), text, capacity, vocabulary))
+    tasks = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    cut = checkpoint(pieces(docs.coalesce(tasks), list(keep), text, capacity, vocabulary))
     by_task = cut.groupBy("_pid", "length").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows
     plan = best_plan(histogram, capacity, settings)
@@ -264,6 +271,8 @@ def pack_documents(
     keys = (rules[:, 0] << 44) + rules[:, 1]
     before = Window.partitionBy("length").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if tasks * capacity <= MOST_BROADCAST:  # then the pieces stay in the tasks that read them
+        bases = F.broadcast(bases)
     ranked = cut.join(bases, ["_pid", "length"]).select(*keep, "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_rank")).alias("_r"))
     schema = T.StructType([*ranked.schema.fields[:-1], *T._parse_datatype_string("sequence_id long, offset long").fields])
 

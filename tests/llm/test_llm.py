@@ -346,6 +346,20 @@ def test_packing(spark, small, odd, none):
         packing.pack_documents(odd, keep=("doc_id", "piece"))
 
 
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_packing_of_many_small_partitions(spark, small, monkeypatch, most):
+    """No file for each of very many partitions; bases broadcast or exchanged."""
+    import pyarrow as pa
+
+    kept, checkpoint = [], packing.checkpoint
+    monkeypatch.setattr(packing, "checkpoint", lambda df: kept.append(checkpoint(df)) or kept[-1])
+    monkeypatch.setattr(packing, "MOST_BROADCAST", most)
+    e = tokens.Encoder()
+    wanted = [(d, [*ids.tolist(), 0]) for d, ids in zip(small.doc_id, e.texts(pa.array(small.text)))]
+    check_packing(packing.pack_documents(docs(spark).repartition(150)).collect(), 2048, wanted)
+    assert [df.rdd.getNumPartitions() for df in kept] == [packing.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_rank_once(seed):
     rng = np.random.default_rng(seed)
