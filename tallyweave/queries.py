@@ -38,7 +38,8 @@ def records(spark: SparkSession, sf_dir: str, year: str = "1998") -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     from_, to = f"{year}-01-01", f"{int(year) + 1}-01-01"
     orders = t("orders").where((F.col("o_orderdate") >= F.lit(from_).cast("timestamp")) & (F.col("o_orderdate") < F.lit(to).cast("timestamp")))
-    j = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = orders.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = relational.likely_partners(t("lineitem"), "l_orderkey", orders, "o_orderkey").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = (F.col("l_partkey") % 500).cast("long")
     length = kind * kind * 7
     return j.select(

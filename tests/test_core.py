@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyweave.functions import criteria as C
-from tallyweave.operators import chart, cube, normalize, stats
+from tallyweave.operators import chart, cube, normalize, relational, stats
 from tallyweave.operators.filters import Filter, FilterGroup
 from tallyweave.plans.jobs import JobRunner, Script, ScriptStore, error_position, slug
 from tallyweave.plans.query import ChartQuery, get_stats
@@ -87,6 +88,7 @@ def test_cube_has_no_table_of_expanded_rows(spark):
     assert [len(columns[0]) for columns in cube._counted(piece, [0, 63])] == [1, 1]
 
 
+STORED_LINES = ("stored_point",)
 STORED = ("stored_point", "stored_roll_up", "stored_stats", "stored_top", "stored_series")
 
 
@@ -104,6 +106,43 @@ def test_stored_question_builds_without_expanded_rows(spark, monkeypatch, name):
     assert spark.table(queries_more._store(spark, "/root/testdata/sf0.001").table(1998)).count() == built[0].count()
 
 
+@pytest.mark.parametrize("name", STORED_LINES)
+def test_stored_question_exchanges_lines_of_the_year(spark, monkeypatch, name):
+    """Lines whose order is of another year are dropped where they are read, and customers meet orders before lines do."""
+    import __spark_entry__ as entry
+    from tallyweave import queries_more
+
+    built, d = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries_more.FacetStore, "years", lambda self: [])
+    save = queries_more.FacetStore.save
+    monkeypatch.setattr(queries_more.FacetStore, "save", lambda self, facets, year: (built.append(facets), save(self, facets, year)))
+    assert entry.queries()[name](spark, d).count() > 0
+    (plan,) = [f._jdf.queryExecution().optimizedPlan().toString() for f in built]
+    assert plan.count("Join LeftSemi") == 1 and plan.index("Join LeftSemi") < plan.index("c_custkey")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    orders = spark.read.parquet(f"{d}/orders.parquet").where("year(o_orderdate) = 1998")
+    kept, exact = relational.likely_partners(lines, "l_orderkey", orders, "o_orderkey"), lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left_semi")
+    assert exact.exceptAll(kept).count() == 0 and kept.count() < 0.2 * lines.count()
+
+
+def test_likely_partners_of_other_types_all_stay(spark):
+    """Equal numbers of other types have other hashes; null keys have no partner; few slots lose nothing."""
+    left, right = spark.range(100), spark.range(50, 60).withColumnRenamed("id", "k")
+    assert relational.likely_partners(left, "id", right.selectExpr("cast(k as int) as k"), "k").count() == 100
+    assert {r.id for r in relational.likely_partners(left, "id", right.union(spark.sql("select cast(null as long)")), "k", 1 << 24).collect()} == set(range(50, 60))
+    assert {r.id for r in relational.likely_partners(left, "id", right, "k", 64).collect()} >= set(range(50, 60))
+
+
+def test_cube_packs_keys_and_tells_them_apart(spark):
+    """Hex digits in pairs are sent as bytes; keys that look alike or are no hex stay different."""
+    keys = ["ab", "AB", "abc", "\u00ab", "\x01\u00ab", "ab\n", "", "00", "\x00", None]
+    rows = [("ok", "m", "a", "c", "fr", "s", "1", k, k, 1) for k in keys for _ in range(2)]
+    (total,) = cube.cube(spark.createDataFrame(rows, NORMAL), only=[()]).collect()
+    assert (total.meta_count, total.url_count, total.sha_count, total.real_size) == (20, 9, 9, 10)
+    sizes = spark.createDataFrame([("0f" * 32,), ("xy",)], "k string").select(F.length(cube._packed(F.col("k")))).collect()
+    assert [r[0] for r in sizes] == [33, 3]
+
+
 def test_cube_sums_beyond_a_long_raise():
     row = dict(zip(CRITERIA, ("ok", "m", "a", "c", "fr", "s", "1"))) | {"is_url": False, "n": 1, "ms": 2**62, "rs": 2**62}
     two = pa.RecordBatch.from_pylist([row | {"key": "a"}, row | {"key": "b", "site": "b"}])
