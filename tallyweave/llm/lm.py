@@ -45,6 +45,7 @@ BEFORE = 32 * 256  # what the spelling looks back at: the last byte, and the one
 ONE_IN = 16
 PRIOR = 1.0
 SALTS = 16
+CHUNK = 2 << 20  # bytes of text that a worker codes and scores at a time
 UNIT = 1 << 32  # logarithms are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 
 
@@ -126,7 +127,7 @@ class Words:
         return ids, spell
 
 
-def split_words(texts: pa.Array, chunk: int = 16 << 20) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def split_words(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(words of some texts, number by text), in order, about ``chunk`` bytes at a time. Words have no ASCII white space."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // chunk
@@ -145,7 +146,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for words, _ in split_words(b.column(0)):
+            for words, _ in split_words(b.column(0), 4 * CHUNK):  # fewer counts to add up
                 found = pc.value_counts(words)
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["word", "n"])
 
@@ -367,7 +368,7 @@ def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_i
     return unpacked(flat)
 
 
-def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1 << 16) -> np.ndarray:
+def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1 << 14) -> np.ndarray:
     """Conditional log-probabilities of the leaves of all words of some texts, a bounded number at a time."""
     if not sum(map(len, ids)):
         return np.zeros(0)

@@ -2,10 +2,12 @@ import base64
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -41,6 +43,19 @@ def test_lm_scores_equal_word_by_word(spark, odd, none):
     assert lm.pseudo_likelihood(none).count() == 0
 
 
+def test_lm_codes_a_bounded_piece_of_a_batch_at_a_time():
+    """A worker's arrays follow the piece: over a hundred bytes for each byte of text would not fit beside the JVM."""
+    texts = pa.array(["word " * 2000] * 1600)  # 16 MB
+    pieces = [(len(words) * 5, len(n)) for words, n in lm.split_words(texts)]
+    assert sum(n for _, n in pieces) == 1600 and max(size for size, _ in pieces) <= (2 << 20) + 10_000
+    ids, w = np.arange(400_000) % 1000, lm.start_weights()
+    tracemalloc.start()
+    lm.score_texts(w, [ids])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 400_000
+
+
 def test_lm_gradient_and_learning():
     rng = np.random.default_rng(2)
     w = [(x + rng.normal(0, 0.1, x.shape)).astype(np.float64) for x in lm.start_weights()]
