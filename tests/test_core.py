@@ -88,7 +88,7 @@ def test_cube_has_no_table_of_expanded_rows(spark):
     assert [len(columns[0]) for columns in cube._counted(piece, [0, 63])] == [1, 1]
 
 
-STORED_LINES = ("stored_point", "stored_roll_up", "stored_stats", "stored_top")
+STORED_LINES = ("stored_point", "stored_roll_up", "stored_stats", "stored_top", "stored_series")
 STORED = ("stored_point", "stored_roll_up", "stored_stats", "stored_top", "stored_series")
 
 
