@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from .common import checkpoint, remove, scratch_path
 
-BRANCH = 32  # choices of a softmax step
+SHIFT = 5
+BRANCH = 1 << SHIFT  # choices of a softmax step
 NODES = (1, BRANCH, BRANCH**2)  # of each step
 VOCABULARY = BRANCH**3
 RARE = 32  # leaves of words outside the list, by first byte
@@ -45,6 +46,8 @@ BEFORE = 32 * 256  # what the spelling looks back at: the last byte, and the one
 ONE_IN = 16
 PRIOR = 1.0
 SALTS = 16
+PIECE = 1 << 13  # words that go through the network together: what they need stays in a core's own cache
+UPDATED = 1 << 14  # weights that are updated together, for the same reason
 CHUNK = 2 << 20  # bytes of text that a worker codes and scores at a time
 UNIT = 1 << 32  # logarithms are summed as whole numbers of 1 / UNIT, so that no order of rows changes a sum
 
@@ -116,6 +119,14 @@ class Words:
         steps = (steps + back) / (steps.sum(axis=1, keepdims=True) + 4)
         return cls(pa.array(listed, pa.large_string()), np.log(first / by_leaf[np.arange(256) % RARE]).astype(np.float32), np.log(steps).astype(np.float32).ravel())
 
+    def leaves(self, words: pa.Array) -> np.ndarray:
+        """The leaf of each of some distinct words, without spelling any."""
+        ids = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = np.flatnonzero(ids < 0)
+        data, starts = _bytes_of(words)
+        ids[rare] = VOCABULARY - RARE + (data[starts[:-1][rare]] % RARE).astype(np.int64)
+        return ids
+
     def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(leaf, log-probability of the word in its leaf) of distinct words."""
         ids = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -141,14 +152,24 @@ def split_words(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[pa.Array,
             yield words.filter(pa.array(real)), np.diff(np.concatenate([[0], np.cumsum(real)])[bounds])
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)`` over all texts."""
+def word_counts(docs: DataFrame, text: str = "text", most_held: int = 1 << 20) -> DataFrame:
+    """``(word, n)`` over all texts. A task adds up counts of about ``most_held`` words before it sends any."""
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in batches:
             for words, _ in split_words(b.column(0), 4 * CHUNK):  # fewer counts to add up
                 found = pc.value_counts(words)
-                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["word", "n"])
+                held.append(pa.table([found.field(0).cast(pa.string()), found.field(1)], names=["word", "n"]))
+                if sum(map(len, held)) > most_held:
+                    held = [added(held)]
+                    if len(held[0]) > most_held // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added(held).to_batches()
 
     return docs.select(text).mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -192,83 +213,105 @@ def learn_words(counts: DataFrame) -> tuple[Words, np.ndarray]:
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, their context ids) of texts laid end to end with edges between."""
-    edge = np.full(2, EDGE, np.int64)
+    edge = np.full(2, EDGE, ids[0].dtype if ids else np.uint16)
     flat = np.concatenate([edge, *(x for d in ids for x in (d, edge))])
     at = np.flatnonzero(flat != EDGE)
     return flat[at], np.stack([flat[at + o] for o in OFFSETS])
 
 
-def _hidden(weights: list[np.ndarray], context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    inputs = [weights[0].take(c, axis=0) for c in context]
-    h = inputs[0] @ weights[1][0]
-    for k in range(1, len(OFFSETS)):
-        h += inputs[k] @ weights[1][k]
-    h += weights[2]
-    return inputs, np.tanh(h, out=h)
+def _hidden(weights: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs side by side, hidden values and a 1, by which outputs have their bias) of words whose context ids are rows."""
+    inputs = weights[0].take(context, axis=0).reshape(len(context), -1)
+    h = np.ones((len(context), HIDDEN + 1), inputs.dtype)
+    inner = inputs @ weights[1].reshape(-1, HIDDEN)
+    inner += weights[2]
+    np.tanh(inner, out=h[:, :HIDDEN])
+    return inputs, h
+
 
+def _outputs(weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each softmax step, the weights by node with the biases as their last row."""
+    return [np.concatenate([weights[3 + 2 * k], weights[4 + 2 * k][:, None]], axis=1) for k in range(len(NODES))]
 
-def _steps(weights: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each softmax step: (its number, nodes in use, where their words begin, choice of each word, probabilities). ``target`` is sorted."""
-    for k in range(len(NODES)):
-        node, choice = target // BRANCH ** (3 - k), target // BRANCH ** (2 - k) % BRANCH
+
+def _steps(outputs: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
+    """For each softmax step: (its number, nodes in use and where their words begin and end, choice of each word, exponentials, their sums). ``target`` is sorted."""
+    z = np.empty((len(h), BRANCH), h.dtype)
+    for k, w in enumerate(outputs):
+        node, choice = target >> SHIFT * (3 - k), target >> SHIFT * (2 - k) & BRANCH - 1
         begin = np.flatnonzero(np.diff(node, prepend=-1))
-        ends, used, w = np.append(begin[1:], len(node)), node[begin], weights[3 + 2 * k]
-        z = np.empty((len(h), BRANCH), h.dtype)
-        for n, a, b in zip(used.tolist(), begin.tolist(), ends.tolist()):
+        used = list(zip(node[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(node)]))
+        for n, a, b in used:
             np.dot(h[a:b], w[n], out=z[a:b])
-        z += weights[4 + 2 * k][node]
         np.clip(z, -60, 60, out=z)  # hidden values are within 1, so logits stay far below this
         np.exp(z, out=z)
-        z /= (z @ np.ones(BRANCH, z.dtype))[:, None]
-        yield k, used, np.append(begin, len(node)), choice, z
+        yield k, used, choice, z, z @ np.ones(BRANCH, z.dtype)
+
+
+def _sorted_pieces(target: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, leaves, context ids by row) of ``PIECE`` words at a time, sorted by leaf, so that words of a node lie together."""
+    order = np.argsort(target.astype(np.uint16, copy=False), kind="stable")
+    for a in range(0, len(order), PIECE):
+        places = order[a : a + PIECE]
+        yield places, target[places], context.T[places]
 
 
 def log_probabilities(weights: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Log-probability of each leaf given both sides."""
-    order = np.argsort(target.astype(np.uint16), kind="stable")
-    target, at = target[order], np.arange(len(target))
-    _, h = _hidden(weights, context[:, order])
-    p = np.ones(len(target), h.dtype)
-    for _, _, _, choice, z in _steps(weights, h, target):
-        p *= z[at, choice]
-    out = np.empty(len(target), np.float64)
-    out[order] = np.log(np.maximum(p, 1e-30))
+    outputs, out = _outputs(weights), np.empty(len(target), np.float64)
+    for places, leaves, ids in _sorted_pieces(target, context):
+        at = np.arange(len(leaves))
+        _, h = _hidden(weights, ids)
+        p = np.ones(len(leaves), h.dtype)
+        for _, _, choice, z, sums in _steps(outputs, h, leaves):
+            p *= z[at, choice] / sums
+        out[places] = np.log(np.maximum(p, 1e-30))
     return out
 
 
-def gradients(weights: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
-    """Of the mean negative log-probability."""
-    order = np.argsort(target.astype(np.uint16), kind="stable")
-    n, target, context, at = len(target), target[order], context[:, order], np.arange(len(target))
-    inputs, h = _hidden(weights, context)
-    gh, out = np.zeros_like(h), [np.zeros_like(w) for w in weights]
-    for k, used, bounds, choice, z in _steps(weights, h, target):
-        z[at, choice] -= 1
-        w, gw = weights[3 + 2 * k], out[3 + 2 * k]
-        for i, a, b in zip(used.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-            gw[i] = h[a:b].T @ z[a:b]
-            gh[a:b] += z[a:b] @ w[i].T
-        out[4 + 2 * k][used] = np.add.reduceat(z, bounds[:-1], axis=0)
-    h *= h
-    gh *= 1 - h
-    out[2] = gh.sum(axis=0)
-    for k in range(len(OFFSETS)):
-        out[1][k] = inputs[k].T @ gh
-    gx = np.concatenate([gh @ weights[1][k].T for k in range(len(OFFSETS))])
-    ids = context.astype(np.uint16).ravel()
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
-    out[0][ids[order[first]]] = np.add.reduceat(gx.take(order, axis=0), first, axis=0)
-    for g in out:
-        g /= n
-    return out
+def _room(weights: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.empty_like(w) for w in (weights[0], weights[1].reshape(-1, HIDDEN), weights[2], *_outputs(weights))]
+
+
+def gradients(weights: list[np.ndarray], target: np.ndarray, context: np.ndarray, outputs: list[np.ndarray] | None = None, room: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Of the mean negative log-probability. ``outputs`` are those of ``weights`` if at hand; ``room`` of an earlier call's size is overwritten."""
+    outputs, inner, dtype = outputs or _outputs(weights), weights[1].reshape(-1, HIDDEN), weights[0].dtype
+    of_inputs, of_inner, of_bias, *of_outputs = room or _room(weights)
+    for g in (of_inputs, of_inner, of_bias, *of_outputs):
+        g.fill(0)
+    pairs = np.complex64 if dtype == np.float32 else np.complex128  # two sums at a time
+    part = dtype.type(1 / max(1, len(target)))
+    for _, leaves, ids in _sorted_pieces(target, context):
+        at = np.arange(len(leaves))
+        inputs, h = _hidden(weights, ids)
+        gh = np.zeros((len(h), HIDDEN), dtype)
+        for k, used, choice, z, sums in _steps(outputs, h, leaves):
+            z *= (part / sums)[:, None]
+            z[at, choice] -= part
+            w, gw = outputs[k][:, :HIDDEN].transpose(0, 2, 1), of_outputs[k]
+            for i, a, b in used:
+                gw[i] += np.dot(h[a:b].T, z[a:b])  # a node's words may go on in the next piece
+                gh[a:b] += np.dot(z[a:b], w[i])
+        h = h[:, :HIDDEN]
+        h *= h
+        gh *= 1 - h
+        of_bias += gh.sum(axis=0)
+        of_inner += inputs.T @ gh
+        ids = ids.astype(np.uint16).ravel()
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] ^ 1))
+        by_id = (gh @ inner.T).view(pairs).reshape(len(ids), -1).take(order, axis=0)
+        of_inputs[ids[order[first]]] += np.add.reduceat(by_id, first, axis=0).view(dtype)
+    return [of_inputs, of_inner.reshape(weights[1].shape), of_bias, *(g for w in of_outputs for g in (w[:, :HIDDEN], w[:, HIDDEN]))]
 
 
 class Learner:
     """Adam over mini-batches of words that arrive text by text."""
 
     def __init__(self, weights: list[np.ndarray], rate: float, batch: int):
-        self.weights, self.rate, self.batch = weights, rate, batch
+        self.outputs = _outputs(weights)  # the weights that follow are parts of these
+        self.weights = [*weights[:3], *(w for o in self.outputs for w in (o[:, :HIDDEN], o[:, HIDDEN]))]
+        self.rate, self.batch, self.room = rate, batch, _room(weights)
         self.m, self.v, self.step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         self.held: list[np.ndarray] = []
         self.n = self.words = 0
@@ -289,17 +332,25 @@ class Learner:
         for at in range(0, len(target), 2 * self.batch):
             self.step += 1
             scale = self.rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
-            for w, m, v, g in zip(self.weights, self.m, self.v, gradients(self.weights, target[at : at + 2 * self.batch], context[:, at : at + 2 * self.batch])):
-                m *= 0.9
-                m += 0.1 * g
-                g *= g
-                v *= 0.99
-                v += 0.01 * g
-                np.sqrt(v, out=g)
-                g += 1e-8
-                np.divide(m, g, out=g)
-                g *= scale
-                w -= g
+            found = gradients(self.weights, target[at : at + 2 * self.batch], context[:, at : at + 2 * self.batch], self.outputs, self.room)
+            for whole in zip(self.weights, self.m, self.v, found):
+                rows = max(1, UPDATED // max(1, whole[0][:1].size))
+                for a in range(0, len(whole[0]), rows):
+                    self.update(*(x[a : a + rows] for x in whole), scale)
+
+    @staticmethod
+    def update(w: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, scale: float) -> None:
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        v *= 0.99
+        g *= 0.01
+        v += g
+        np.sqrt(v, out=g)
+        g += 1e-8
+        np.divide(m, g, out=g)
+        g *= scale
+        w -= g
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -319,7 +370,7 @@ def dealt(docs: DataFrame, words: Words, id_: str, text: str, parts: int, rounds
             at = 0
             for found, n in split_words(b.column("t")):
                 coded = found.dictionary_encode()
-                flat = words.coded(coded.dictionary)[0].astype("<u2")[coded.indices.to_numpy(zero_copy_only=False)]
+                flat = words.leaves(coded.dictionary).astype("<u2")[coded.indices.to_numpy(zero_copy_only=False)]
                 ends = np.concatenate([[0], np.cumsum(n)]) * 2
                 ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
                 some = pa.array(n > 0)
@@ -351,7 +402,7 @@ def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_i
                             learner.learn()
                             yield out()
                         learner, now = Learner(unpacked(start), rate, batch), part
-                    learner.add(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64))
+                    learner.add(np.frombuffer(ids.as_buffer(), "<u2"))
             if learner:
                 learner.learn()
                 yield out()
@@ -368,7 +419,7 @@ def train(docs: DataFrame, words: Words, counts: np.ndarray, *, id: str = "doc_i
     return unpacked(flat)
 
 
-def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1 << 14) -> np.ndarray:
+def score_texts(weights: list[np.ndarray], ids: list[np.ndarray], block: int = 1 << 16) -> np.ndarray:
     """Conditional log-probabilities of the leaves of all words of some texts, a bounded number at a time."""
     if not sum(map(len, ids)):
         return np.zeros(0)
@@ -433,7 +484,7 @@ def _scores(docs: DataFrame, words: Words, weights: list[np.ndarray], id_: str,
                 data = data.tobytes()
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())), np.uint64, len(ids))
                 ends = np.concatenate([[0], np.cumsum(n)])
-                p = score_texts(weights, np.split(ids[at], ends[1:-1])) + spell[at]
+                p = score_texts(weights, np.split(ids.astype(np.uint16)[at], ends[1:-1])) + spell[at]
                 sums = np.concatenate([[0], np.cumsum(np.round(p * UNIT).astype(np.int64))])
                 c = Chunks.of(hashes[at], n)
                 lists = pa.array(np.concatenate([[0], np.cumsum(c.counts)]).astype(np.int32))

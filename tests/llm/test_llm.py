@@ -56,6 +56,46 @@ def test_lm_codes_a_bounded_piece_of_a_batch_at_a_time():
     assert peak < 100 * 400_000
 
 
+def test_lm_counts_of_a_task_are_added_up_before_they_leave_it(spark):
+    """Pieces of 8 MB each sent all their words, which the exchange then had to add up."""
+    df = spark.range(200).selectExpr("id as doc_id", "repeat('ab cd ef gh ', 20000) as text").coalesce(1)  # 48 MB
+    counts = lm.word_counts(df)
+    assert {r.word: r.n for r in counts.collect()} == dict.fromkeys(("ab", "cd", "ef", "gh"), 4_000_000)
+    assert {r.word: r.n for r in lm.word_counts(df.limit(50), most_held=3).collect()} == dict.fromkeys(("ab", "cd", "ef", "gh"), 1_000_000)
+    nodes, plan = [], counts._jdf.queryExecution().executedPlan()
+    walk = [plan]
+    while walk:
+        node = walk.pop()
+        nodes.append((node.nodeName(), node))
+        name = node.nodeName()
+        walk += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    sent = [n.metrics().apply("pythonNumRowsReceived").value() for name, n in nodes if name == "MapInArrow"]
+    assert sent == [4]
+
+
+def test_lm_deals_words_to_the_leaves_that_scores_use():
+    words = lm.Words.of([f"w{i}" for i in range(9)], np.array([97]), np.array([1]))
+    texts = pa.array(["w3", "é", "zz", "w0", "a"], pa.large_string())
+    assert words.leaves(texts).tolist() == words.coded(texts)[0].tolist()
+    assert words.leaves(texts[1:]).tolist() == words.coded(texts)[0][1:].tolist() and len(words.leaves(texts[:0])) == 0
+
+
+def test_lm_step_needs_little_room():
+    """Arrays over all words of a step went through memory, in pages that each step took anew; a piece stays in a cache."""
+    learner, ids = lm.Learner(lm.start_weights(), 0.01, 32768), (np.arange(32768) * 7919 % 3000).astype(np.uint16)
+    learner.add(ids)
+    tracemalloc.start()
+    learner.add(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert learner.step == 2 and peak < 12e6
+    w, (target, context) = lm.start_weights(), lm.windows([ids])
+    w = [x + np.float32(0.01) * np.sin(np.arange(x.size, dtype=np.float32)).reshape(x.shape) for x in w]
+    whole = lm.gradients(w, target, context)
+    halves = [lm.gradients(w, target[a:b], context[:, a:b]) for a, b in ((0, 16384), (16384, 32768))]
+    assert all(np.allclose(g, (a + b) / 2, atol=1e-6) for g, a, b in zip(whole, *halves))
+
+
 def test_lm_gradient_and_learning():
     rng = np.random.default_rng(2)
     w = [(x + rng.normal(0, 0.1, x.shape)).astype(np.float64) for x in lm.start_weights()]
